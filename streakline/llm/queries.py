@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe_trie
+from .decontamination import OP9_SQL, op9_decontaminate
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .token_counts import op4_token_counts
 
-QUERIES = {"op6_line_dedup": op6_line_dedup}
-SQL = {"op6_line_dedup": OP6_SQL}
+QUERIES = {"op4_token_counts": op4_token_counts, "op5_bpe_trie": op5_bpe_trie, "op6_line_dedup": op6_line_dedup, "op9_decontaminate": op9_decontaminate}
+SQL = {"op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL}
