@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 #: ASCII white space of the contracts: [\x20\x09-\x0D].
 WS_BYTES = b" \t\n\x0b\x0c\r"
 #: Text bytes that a Python step takes in one slice, so that long texts do not add up.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
