@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from .bpe import op5_bpe_trie
 from .decontamination import OP9_SQL, op9_decontaminate
+from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .token_counts import op4_token_counts
+from .toxicity import op8_toxicity
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op5_bpe_trie": op5_bpe_trie, "op6_line_dedup": op6_line_dedup, "op9_decontaminate": op9_decontaminate}
-SQL = {"op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL}
+QUERIES = {
+    "op4_token_counts": op4_token_counts,
+    "op5_bpe_trie": op5_bpe_trie,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_embedding_dedup": op10_embedding_dedup,
+}
+SQL = {"op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
