@@ -147,7 +147,7 @@ def _debin(pixels: DataFrame) -> DataFrame:
 _KNOT = lambda off: f"coalesce((SELECT v FROM b WHERE b.c = greatest(0, least(31, x.i + {off}))), 0)"
 query("debin_once", "emb", f"b AS (SELECT col // 2 AS c, sum(value) / 2 AS v FROM (SELECT col, avg(value) AS value FROM img GROUP BY col) GROUP BY 1), x AS (SELECT col, t, greatest(0, least(floor((t - 1.5) / 2), 30))::INT AS i FROM (SELECT c0 AS col, greatest(1.5, least(c0 + 1, 63.5))::DOUBLE AS t FROM range(64) r(c0))), y AS (SELECT col, (t - 1.5 - 2 * i) / 2 AS t, {_KNOT(-1)} AS p0, {_KNOT(0)} AS p1, {_KNOT(1)} AS p2, {_KNOT(2)} AS p3 FROM x), res AS (SELECT 0 AS slice_id, 0 AS \"row\", col, 0.5::DOUBLE * (2 * p1 + (p2 - p0) * t + (2 * p0 - 5 * p1 + 4 * p2 - p3) * t ** 2 + (3 * p1 - p0 - 3 * p2 + p3) * t ** 3) AS value FROM y)", PIX, "value", plain=True)(_debin)
 query("cluster_gate", "ev", "p AS (SELECT slice_id, col, avg(value) - 8 AS value FROM img GROUP BY ALL), o AS (SELECT *, abs(value) > 0.5 AS is_on, sum(CASE WHEN abs(value) > 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY slice_id ORDER BY col) AS island FROM p), z AS (SELECT *, count(*) FILTER (WHERE is_on) OVER (PARTITION BY slice_id, island) AS n, max(abs(value)) FILTER (WHERE is_on) OVER (PARTITION BY slice_id, island) AS peak FROM o), res AS (SELECT slice_id, col, CASE WHEN is_on AND n > 4 AND peak > 1 THEN 0 ELSE value END AS value FROM z)", PROFILE, "value", plain=True)(lambda p: nb.cluster_gate(p.groupBy("slice_id", "col").agg((F.avg("value") - 8).alias("value")), 1.0, high=1.0, width=4))
-query("coarse_max_variance", "ev", _CV + ", res AS (SELECT slice_id, col >> 1 AS col, max(variance) AS value FROM cv GROUP BY ALL)", PROFILE, "value", plain=True)(lambda p: nb.coarse_max_variance(p, 1))
+query("coarse_max_variance", "ev", _CV + ", res AS (SELECT slice_id, col >> 1 AS col, max(variance) AS value FROM cv GROUP BY ALL)", PROFILE, "value", 4, plain=True)(lambda p: nb.coarse_max_variance(p, 1))
 query("saliency_gate", "emb", _CV + ", f AS (SELECT slice_id, col >> 1 AS col, max(variance) AS v FROM cv GROUP BY ALL), res AS (SELECT cv.slice_id, cv.col, median * CASE WHEN median ** 2 + variance > 0 AND f.v <= 200 THEN (median ** 2 / (median ** 2 + variance)) ** 8 ELSE 0 END AS value FROM cv JOIN f ON f.slice_id = cv.slice_id AND f.col = cv.col)", PROFILE, "value", plain=True)(lambda p: nb.saliency_gate(p, p, 1, 10.0))
 query("soft_gate", "emb", "SELECT slice_id, col, m / (1 + (abs(m) / 0.06::DOUBLE) ** 6) AS value FROM (SELECT slice_id, col, median(value) AS m FROM img GROUP BY ALL)", PROFILE, "value")(lambda p: pw.soft_gate(st.column_median(p), 0.02))
 
