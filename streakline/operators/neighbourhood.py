@@ -178,8 +178,8 @@ def power_iteration(pixels: DataFrame, rounds: int = 20) -> DataFrame:
     v = pixels.select("slice_id", "col").distinct().join(width, "slice_id").select("slice_id", "col", (1 / F.sqrt("w")).alias("v"))
 
     def unit(df: DataFrame, key: str, name: str) -> DataFrame:
-        norm = df.groupBy("slice_id").agg(F.sqrt(F.sum(F.col(name) * F.col(name))).alias("norm"))
-        return df.join(norm, "slice_id").select("slice_id", key, (F.col(name) / F.col("norm")).alias(name), "norm")
+        norm = F.sqrt(F.sum(F.col(name) * F.col(name)).over(Window.partitionBy("slice_id")))  # one value per row or column of a slice
+        return df.select("slice_id", key, (F.col(name) / norm).alias(name), norm.alias("norm"))
 
     for k in range(rounds):
         u = unit(pixels.join(v.select("slice_id", "col", "v"), ["slice_id", "col"]).groupBy("slice_id", "row").agg(F.sum(st.V() * F.col("v")).alias("u")), "row", "u")
