@@ -70,11 +70,13 @@ class TreeBuilder(HTMLParser):
             self._close(("p",))
         if tag in CLOSES:
             self._close(CLOSES[tag])
-        named = dict(attrs)
-        words = role_words(named)
-        hidden = "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style") or "") is not None
-        role = hidden or (tag not in ("html", "body", "article", "main") and any(w in ROLES for w in words)) or (tag in ("article", "main", "section", "div") and any(w in ("comment", "comments", "reply") for w in words))
-        name = ".".join([tag, *(w for w in words[:3] if not w.isdigit())])
+        words, role = [], False
+        if attrs:
+            named = dict(attrs)
+            words = role_words(named)
+            hidden = "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style") or "") is not None
+            role = hidden or (tag not in ("html", "body", "article", "main") and any(w in ROLES for w in words)) or (tag in ("article", "main") and any(w in ("comment", "comments", "reply") for w in words))
+        name = ".".join([tag, *(w for w in words[:3] if not w.isdigit())]) if words else tag
         node = Node(tag, name, self.at, role)
         self.at.children.append(node)
         if tag not in VOID:
@@ -144,8 +146,16 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+_KEYS: dict[str, int] = {}
+
+
 def path_key(path: str) -> int:
-    return _digest(path)
+    key = _KEYS.get(path)
+    if key is None:
+        if len(_KEYS) > 50_000:
+            _KEYS.clear()
+        key = _KEYS[path] = _digest(path)
+    return key
 
 
 def extract(html: str, style: dict[int, tuple[int, float]], low: float = LOW, min_pages: int = MIN_PAGES) -> str:
