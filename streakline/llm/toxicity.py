@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ BROADCAST_LABELS = 500_000
 _WORD = re.compile(r"[^\W_]+(?:['\-][^\W_]+)*")
 _QUOTES = "\"'“”„«»‘’`"
 FEATURES = 5
+#: Different contexts that a term has for each row that holds it.
+SPREAD = 0.2
 
 
 def words(text: str) -> list[tuple[int, int, str]]:
@@ -41,8 +45,93 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
+class LevenshteinAutomaton:
+    """All words within ``k`` edits (a swap of neighbours is one) of a term of the trie.
+
+    A state is the set of (trie node, edits, letter owed by a swap) that the letters so far can have reached: the
+    intersection of the words' Levenshtein automata with the trie.  States and steps are made when first met and kept,
+    so a word costs one look-up per letter."""
+
+    STATES = 100_000
+
+    def __init__(self, root: dict, k: int):
+        self.k, self.letters = k, set()
+        stack = [root]
+        while stack:
+            for ch, child in stack.pop().items():
+                if len(ch) == 1 and ch not in "*$":
+                    self.letters.add(ch)
+                    stack.append(child)
+        self.nodes = {id(root): root}
+        self._start(root)
+
+    def _start(self, root: dict) -> None:
+        self.root, self.sets, self.steps, self.final, self.ids = root, [], [], [], {}
+        self._state(self._closed({(id(root), ""): 0}))
+
+    def _closed(self, best: dict[tuple[int, str], int]) -> frozenset:
+        """Letters of a term may be missing in the word: children at one more edit."""
+        stack = list(best.items())
+        while stack:
+            (n, owed), e = stack.pop()
+            if best.get((n, owed), e) < e or owed or e >= self.k:
+                continue
+            for ch, child in self.nodes[n].items():
+                if ch not in ("*", "$") and best.get((id(child), ""), self.k + 1) > e + 1:
+                    self.nodes[id(child)] = child
+                    best[id(child), ""] = e + 1
+                    stack.append(((id(child), ""), e + 1))
+        return frozenset((n, owed, e) for (n, owed), e in best.items())
+
+    def _state(self, found: frozenset) -> int:
+        at = self.ids.get(found)
+        if at is None:
+            at = self.ids[found] = len(self.sets)
+            self.sets.append(found)
+            self.steps.append({})
+            self.final.append(any(not owed and "$" in self.nodes[n] for n, owed, _ in found))
+        return at
+
+    def _step(self, state: int, letter: str) -> int:
+        best: dict[tuple[int, str], int] = {}
+
+        def put(node: dict, owed: str, e: int) -> None:
+            self.nodes[id(node)] = node
+            if e <= self.k and best.get((id(node), owed), e + 1) > e:
+                best[id(node), owed] = e
+
+        for n, owed, e in self.sets[state]:
+            node = self.nodes[n]
+            if owed:
+                if owed == letter:
+                    put(node, "", e)
+                continue
+            put(node, "", e + 1)  # a letter too many
+            for ch, child in node.items():
+                if ch in ("*", "$"):
+                    continue
+                put(child, "", e + (ch != letter))
+                if letter in child and letter != ch:
+                    put(child[letter], ch, e + 1)  # a swap: the first of the two letters is still to come
+        return self._state(self._closed(best))
+
+    def accepts(self, word: str) -> bool:
+        if len(self.sets) > self.STATES:
+            self._start(self.root)
+        state, steps, sets = 0, self.steps, self.sets
+        for ch in word:
+            ch = ch if ch in self.letters else ""
+            to = steps[state].get(ch)
+            if to is None:
+                to = steps[state][ch] = self._step(state, ch)
+            state = to
+            if not sets[state]:
+                return False
+        return self.final[state]
+
+
 class LexiconTrie:
-    """Trie of terms (``word``) and stems (``stem*``) that Levenshtein automata of words are intersected with."""
+    """Trie of terms (``word``) and stems (``stem*``), with its Levenshtein automata."""
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
@@ -51,8 +140,9 @@ class LexiconTrie:
             stem = term.endswith("*")
             for ch in term.rstrip("*"):
                 node = node.setdefault(ch, {})
-            node["*" if stem else "$"] = term
+            node["*" if stem else "$"] = {}
         self.known: dict[str, int] = {}
+        self.automata = {k: LevenshteinAutomaton(self.root, k) for k in (1, 2)}
 
     @staticmethod
     def tolerance(length: int) -> int:
@@ -80,35 +170,16 @@ class LexiconTrie:
         if node is not None and "$" in node:
             return 1
         k = self.tolerance(len(word))
-        return 2 if k and self._walk(self.root, word, k) else 0
-
-    @staticmethod
-    def _walk(root: dict, word: str, k: int) -> bool:
-        """Depth-first intersection: a state is the automaton's row of edit counts (with transpositions), cut at ``k``."""
-        first = list(range(len(word) + 1))
-        stack = [(root, first, None, "")]
-        while stack:
-            node, row, before, last = stack.pop()
-            if "$" in node and row[-1] <= k:
-                return True
-            for ch, child in node.items():
-                if ch in "*$":
-                    continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word, 1):
-                    d = min(new[-1] + 1, row[i] + 1, row[i - 1] + (w != ch))
-                    if before is not None and i > 1 and w == last and word[i - 2] == ch:
-                        d = min(d, before[i - 2] + 1)
-                    new.append(d)
-                if min(new) <= k:
-                    stack.append((child, new, row, ch))
-        return False
+        return 2 if k and self.automata[k].accepts(word) else 0
 
 
 def features(text: str, trie: LexiconTrie) -> list[float]:
     """Plain exact, plain misspelled, quoted exact, quoted misspelled hits (as log(1 + n)), and plain hits among the words."""
-    found = words(text)
+    hits = {w for w in set(_WORD.findall(text.lower())) if trie.match(w)}
     counts = [0, 0, 0, 0]
+    if not hits:
+        return [0.0] * FEATURES
+    found = words(text)
     for i, (start, end, word) in enumerate(found):
         kind = trie.match(word)
         if kind:
@@ -156,17 +227,52 @@ def held_out(id_col: Column) -> Column:
 def _term_counts(rows: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
     """(term, toxic, n): documents that hold a term, added up per slice before the shuffle."""
 
+    def all_terms(found: set[str], counts: Counter) -> None:
+        counts.update(found)
+        for n in STEMS:
+            counts.update({w[:n] + "*" for w in found if len(w) >= n})
+
+    memo: dict[str, tuple[str, ...]] = {}
+
+    def among_terms(found: set[str], counts: Counter) -> None:
+        if len(memo) > 300_000:
+            memo.clear()
+        held = set()
+        for w in found:
+            terms = memo.get(w)
+            if terms is None:
+                terms = memo[w] = tuple(t for t in stems(w) if t in among)
+            if terms:
+                held.update(terms)
+        counts.update(held)
+
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        n: dict[tuple[str, int], int] = {}
+        counts = {0: Counter(), 1: Counter()}
         for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            terms = {t for w in {w for _, _, w in words(text.decode("utf-8", "replace"))} for t in stems(w)}
-            for t in terms if among is None else terms & among:
-                n[t, toxic] = n.get((t, toxic), 0) + 1
-        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in n], pa.string()), pa.array([x for _, x in n], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["term", "toxic", "n"])
+            found = set(_WORD.findall(text.decode("utf-8", "replace").lower()))
+            (all_terms if among is None else among_terms)(found, counts[toxic])
+        n = [(t, x, k) for x, held in counts.items() for t, k in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _, _ in n], pa.string()), pa.array([x for _, x, _ in n], pa.int32()), pa.array([k for _, _, k in n], pa.int64())], names=["term", "toxic", "n"])
 
     return c.map_arrow(rows, run, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
 
 
+def _contexts(rows: DataFrame, terms: frozenset[str]) -> DataFrame:
+    """(term, n): pairs of neighbouring words that a term stands between.  Copies of one text repeat the pair, so they say little."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        found: set[tuple[str, int]] = set()
+        for text in part.column(1).to_pylist():
+            w = ["", *_WORD.findall(text.decode("utf-8", "replace").lower()), ""]
+            for i in range(1, len(w) - 1):
+                for t in stems(w[i]):
+                    if t in terms:
+                        found.add((t, xxhash.xxh3_64_intdigest(f"{w[i - 1]} {w[i + 1]}") >> 1))
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.int64())], names=["term", "context"])
+
+    return c.map_arrow(rows, run, "term string, context long").distinct().groupBy("term").agg(F.count("*").alias("n"))
+
+
 def lexicon(train: DataFrame, share: float = 0.01, least: int = 3, lift: float = 25.0, max_terms: int = 50_000) -> tuple[list[str], int, int]:
     """Terms in at least ``share`` of the toxic rows that are ``lift`` times as frequent there as in the others, beyond chance (at 0.05 over all candidates).
 
@@ -184,13 +290,16 @@ def lexicon(train: DataFrame, share: float = 0.01, least: int = 3, lift: float =
     clean = {r["term"]: r["n"] for r in _term_counts(train.filter("toxic = 0"), frozenset(among)).toLocalIterator()}
     chance, base = 0.05 / len(among) if among else 1, n_toxic / (n_toxic + n_clean)
     good = {t for t, n in among.items() if n / n_toxic >= lift * (clean.get(t, 0) + 0.1) / (n_clean + 1) and _tail(n, n + clean.get(t, 0), base) < chance}
+    contexts = {r["term"]: r["n"] for r in _contexts(train.filter("toxic = 1"), frozenset(good)).toLocalIterator()} if good else {}
+    good = {t for t in good if (d := contexts.get(t, 0)) >= max(least, SPREAD * among[t]) and _tail(d, d + clean.get(t, 0), base) < chance}
     kept, words_too = set(), set()
     for t in sorted(good, key=lambda t: (len(t.rstrip("*")), t)):
         text = t.rstrip("*")
-        if not any(text[:n] + "*" in kept for n in STEMS if n <= len(text) and text[:n] + "*" != t):
+        above = next((x for n in STEMS if n <= len(text) and (x := text[:n] + "*") in kept), None)
+        if above is None:
             kept.add(t)
-        elif not t.endswith("*"):
-            words_too.add(t)  # a whole word stays for its misspellings
+        elif not t.endswith("*") and among[t] >= 0.25 * among[above]:
+            words_too.add(t)  # the word that a stem mostly stands for stays too, for its misspellings
     return sorted(kept | words_too), n_toxic, n_clean
 
 
@@ -237,8 +346,12 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     share = min(1.0, fit_rows / max(1, n_toxic + n_clean))
     sample = train.filter(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else train
 
+    loaded: list[LexiconTrie] = []
+
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        trie = LexiconTrie(terms)
+        if not loaded:
+            loaded.append(LexiconTrie(terms))
+        trie = loaded[0]
         made = [features(t.decode("utf-8", "replace"), trie) for t in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f[k] for f in made], pa.float64()) for k in range(FEATURES))], names=["toxic", *(f"f{k}" for k in range(FEATURES))])
 
