@@ -248,7 +248,8 @@ def test_decontamination(spark, docs, empty):
     assert all(v == (0,) for v in by_id(decontamination.mark_contamination(docs, bench.limit(0)), "n_hit").values())
     clean = by_id(decontamination.decontaminate(docs, bench), "text")
     assert 3 not in clean and clean[0] == (None,) and clean[10][0] == TEXTS[10]
-    assert PASSAGE not in clean[13][0] and clean[13][0].split()[0] == TEXTS[13].split()[0]
+    last = len(TEXTS) - 1
+    assert 13 not in clean and clean[last][0].split() == TEXTS[last].split()[:6000]  # mostly passage: gone; else only the passage goes
 
 
 def test_toxicity(spark, docs, empty):
