@@ -23,9 +23,9 @@ from . import _hashing as hs
 from . import _superwindows as sw
 
 THRESHOLD = 200
-ANCHOR = 24
+ANCHOR = 100
 #: Bytes of segments that one transform takes.
-TRANSFORM_BYTES = 1_500_000
+TRANSFORM_BYTES = 400_000
 #: Segments of one anchor above which its windows are dealt out one by one, by their hash.
 HOT_SEGMENTS = 2_000
 _TABLE = np.random.default_rng(97).integers(1, 2**64, 256, np.uint64)
@@ -62,27 +62,27 @@ def common_prefixes(text: np.ndarray, threshold: int) -> tuple[np.ndarray, np.nd
     Backward extension: an interval of suffixes that begin with w is extended by each symbol before it to the interval of c + w.
     If the right end of the new interval has no value yet, the value there is the length of w, and the interval goes to the next level."""
     n = len(text)
-    order = suffix_order(text, threshold + 8)
+    order = suffix_order(text, threshold + 8).astype(np.int32)
     bwt = text[order - 1]  # the text is taken as a ring; its first symbol is a separator
-    by_symbol = np.argsort(bwt, kind="stable").astype(np.int64)  # row of the k-th suffix's predecessor in symbol order
-    last_to_first = np.empty(n, np.int64)
-    last_to_first[by_symbol] = np.arange(n)
+    by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)  # row of the k-th suffix's predecessor in symbol order
+    last_to_first = np.empty(n, np.int32)
+    last_to_first[by_symbol] = np.arange(n, dtype=np.int32)
     same = bwt[by_symbol]
     joined = same[1:] == same[:-1]
-    after = np.full(n, n, np.int64)  # the next row with the same symbol
+    after = np.full(n, n, np.int32)  # the next row with the same symbol
     after[by_symbol[:-1][joined]] = by_symbol[1:][joined]
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[by_symbol[1:][joined]] = by_symbol[:-1][joined]
     value = np.full(n + 1, -1, np.int16)
     value[0] = value[n] = 0
-    left, right = np.array([0], np.int64), np.array([n], np.int64)
+    left, right = np.array([0], np.int32), np.array([n], np.int32)
     for level in range(threshold):
         size = right - left
         total = int(size.sum())
         if not total:
             break
-        starts = np.cumsum(size) - size
-        row = np.arange(total) + np.repeat(left - starts, size)
+        starts = (np.cumsum(size) - size).astype(np.int32)
+        row = np.arange(total, dtype=np.int32) + np.repeat(left - starts, size)
         is_first = before[row] < np.repeat(left, size)
         is_last = after[row] >= np.repeat(right, size)
         new_left = np.sort(last_to_first[row[is_first]])
