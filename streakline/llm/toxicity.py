@@ -32,8 +32,6 @@ BROADCAST_LABELS = 500_000
 _WORD = re.compile(r"[^\W_]+(?:['\-][^\W_]+)*")
 _QUOTES = "\"'“”„«»‘’`"
 FEATURES = 5
-#: Different contexts that a term has for each row that holds it.
-SPREAD = 0.2
 
 
 def words(text: str) -> list[tuple[int, int, str]]:
@@ -258,7 +256,7 @@ def _term_counts(rows: DataFrame, among: frozenset[str] | None = None) -> DataFr
 
 
 def _contexts(rows: DataFrame, terms: frozenset[str]) -> DataFrame:
-    """(term, n): pairs of neighbouring words that a term stands between.  Copies of one text repeat the pair, so they say little."""
+    """(term, n): pairs of neighbouring words that a term stands between.  Near copies of one text repeat the pair, so they say little."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found: set[tuple[str, int]] = set()
@@ -276,7 +274,8 @@ def _contexts(rows: DataFrame, terms: frozenset[str]) -> DataFrame:
 def lexicon(train: DataFrame, share: float = 0.01, least: int = 3, lift: float = 25.0, max_terms: int = 50_000) -> tuple[list[str], int, int]:
     """Terms in at least ``share`` of the toxic rows that are ``lift`` times as frequent there as in the others, beyond chance (at 0.05 over all candidates).
 
-    ``train``: (toxic int, _text binary).  A term needs a share of the toxic rows, so there are at most their distinct
+    ``train``: (toxic int, _text binary), each text once.  A term must stand in contexts enough to be beyond chance by them
+    alone, however many rows hold it, so near copies teach nothing and take nothing away.  A term needs a share of the toxic rows, so there are at most their distinct
     words / share of candidates; beyond ``max_terms`` the share is raised.  Of stems and words that begin alike the shortest stays."""
     sizes = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -291,7 +290,7 @@ def lexicon(train: DataFrame, share: float = 0.01, least: int = 3, lift: float =
     chance, base = 0.05 / len(among) if among else 1, n_toxic / (n_toxic + n_clean)
     good = {t for t, n in among.items() if n / n_toxic >= lift * (clean.get(t, 0) + 0.1) / (n_clean + 1) and _tail(n, n + clean.get(t, 0), base) < chance}
     contexts = {r["term"]: r["n"] for r in _contexts(train.filter("toxic = 1"), frozenset(good)).toLocalIterator()} if good else {}
-    good = {t for t in good if (d := contexts.get(t, 0)) >= max(least, SPREAD * among[t]) and _tail(d, d + clean.get(t, 0), base) < chance}
+    good = {t for t in good if (d := contexts.get(t, 0)) >= least and _tail(d, d + clean.get(t, 0), base) < chance}
     kept, words_too = set(), set()
     for t in sorted(good, key=lambda t: (len(t.rstrip("*")), t)):
         text = t.rstrip("*")
@@ -332,13 +331,13 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Lexicon from all labelled rows that are not held out; weights from at most ``fit_rows`` of them, by a hash of the text.
 
     Labels that are null or other than 0 and 1, and null ids, teach nothing; a document with several labels
-    is taken once, as toxic if any says so.  Without toxic rows the lexicon is empty and every score is low."""
+    is taken once, as toxic if any says so.  Copies of a text count once, by the same rule.  Without toxic rows the lexicon is empty and every score is low."""
     marks = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     marks = marks.filter(~held_out(F.col("_id")))
     marks = c.checkpoint(marks)
     if marks.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
-    rows = c.id_text(docs, id_col, text_col).join(marks, "_id").select("toxic", "_text")
+    rows = c.id_text(docs, id_col, text_col).join(marks, "_id").groupBy("_text").agg(F.max("toxic").alias("toxic")).select("toxic", "_text")
     train = c.stored(rows, "toxicity-train")
     terms, n_toxic, n_clean = lexicon(train)
     if not n_toxic:

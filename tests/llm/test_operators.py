@@ -276,6 +276,24 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train_model(d, lab.limit(0)).terms == []
 
 
+def test_toxicity_copies_neither_teach_nor_veto(spark):
+    bad = "grumpkin snotlord dreckface".split()
+    r, rows, labels = random.Random(3), [], []
+    for i in range(400):
+        w = prose(40).split()
+        if i % 8 == 0:
+            w[r.randrange(len(w))] = bad[i // 8 % 3]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 8 == 0)))
+    hot = prose(20) + " " + " ".join(bad) + " onlyhere " + prose(20)
+    more = [(400 + i, hot) for i in range(400)]
+    one = toxicity.train_model(spark.createDataFrame(rows + more[:9], "doc_id long, text string"), spark.createDataFrame(labels + [(i, 1) for i, _ in more[:9]], "doc_id long, toxic int"))
+    many = toxicity.train_model(spark.createDataFrame(rows + more, "doc_id long, text string"), spark.createDataFrame(labels + [(i, 1) for i, _ in more], "doc_id long, toxic int"))
+    trie = toxicity.LexiconTrie(many.terms)
+    assert many.terms == one.terms and [trie.match(w) for w in (*bad, "onlyhere")] == [1, 1, 1, 0]
+    assert many.scorer()(hot) >= 0.5
+
+
 def test_levenshtein_trie():
     trie = toxicity.LexiconTrie(["moron", "disgusting", "vequ*", "ass"])
     assert [trie.match(w) for w in ("moron", "morno", "morn", "disgustign", "disgsting", "vequance", "as", "asse", "moralist", "maroons")] == [1, 2, 0, 2, 2, 1, 0, 0, 0, 0]
