@@ -25,8 +25,6 @@ from . import _common as c
 STEMS = (4, 5, 6)
 #: Words on each side of a hit that its context takes in.
 CONTEXT = 5
-#: Labelled rows that fit the model of five weights (the lexicon's counts take in all of them).
-FIT_ROWS = 100_000
 #: Labels (12 bytes each) up to this number are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 500_000
 _WORD = re.compile(r"[^\W_]+(?:['\-][^\W_]+)*")
@@ -311,15 +309,15 @@ def _tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(first) / (1 - ratio)) if ratio < 1 else 1.0
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
-    """Logistic regression by Newton steps, drawn to plain hits that count and quoted ones that count little."""
+def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.5) -> list[float]:
+    """Logistic regression by Newton steps, drawn to plain hits that count and quoted ones that count little; each row stands for ``n`` equal ones."""
     prior = np.array([2.0, 1.5, 0.2, 0.2, 1.0, -2.5])
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = prior.copy(), np.full(len(prior), ridge)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * (w - prior)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        grad = x.T @ (n * (p - y)) + penalty * (w - prior)
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -327,8 +325,8 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
     return [float(v) for v in w]
 
 
-def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """Lexicon from all labelled rows that are not held out; weights from at most ``fit_rows`` of them, by a hash of the text.
+def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Lexicon and weights from all labelled rows that are not held out.
 
     Labels that are null or other than 0 and 1, and null ids, teach nothing; a document with several labels
     is taken once, as toxic if any says so.  Copies of a text count once, by the same rule.  Without toxic rows the lexicon is empty and every score is low."""
@@ -339,11 +337,9 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         marks = F.broadcast(marks)
     rows = c.id_text(docs, id_col, text_col).join(marks, "_id").groupBy("_text").agg(F.max("toxic").alias("toxic")).select("toxic", "_text")
     train = c.stored(rows, "toxicity-train")
-    terms, n_toxic, n_clean = lexicon(train)
+    terms, n_toxic, _ = lexicon(train)
     if not n_toxic:
         return Model([], [0.0] * FEATURES + [-3.0])
-    share = min(1.0, fit_rows / max(1, n_toxic + n_clean))
-    sample = train.filter(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else train
 
     loaded: list[LexiconTrie] = []
 
@@ -355,11 +351,10 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f[k] for f in made], pa.float64()) for k in range(FEATURES))], names=["toxic", *(f"f{k}" for k in range(FEATURES))])
 
     # equal feature rows are counted together, so what the driver gets is small
-    grouped = c.map_arrow(sample, run, "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))).groupBy("toxic", *(f"f{k}" for k in range(FEATURES))).count()
-    got = grouped.toPandas()
-    repeat = np.repeat(np.arange(len(got)), got["count"].to_numpy())
-    x = got[[f"f{k}" for k in range(FEATURES)]].to_numpy(float)[repeat]
-    return Model(terms, _fit(x, got["toxic"].to_numpy(float)[repeat]))
+    grouped = c.map_arrow(train, run, "toxic int, " + ", ".join(f"f{k} double" for k in range(FEATURES))).groupBy("toxic", *(f"f{k}" for k in range(FEATURES))).count()
+    got = grouped.toArrow()
+    x = np.column_stack([got[f"f{k}"].to_numpy() for k in range(FEATURES)])
+    return Model(terms, _fit(x, got["toxic"].to_numpy().astype(float), got["count"].to_numpy().astype(float)))
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -294,6 +294,25 @@ def test_toxicity_copies_neither_teach_nor_veto(spark):
     assert many.scorer()(hot) >= 0.5
 
 
+def test_toxicity_fit_takes_all_rows(spark):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    x = r.integers(0, 3, (200, toxicity.FEATURES)).astype(float)
+    y, n = (x[:, 0] + r.normal(size=200) > 1).astype(float), r.integers(1, 9, 200)
+    assert np.allclose(toxicity._fit(x, y, n), toxicity._fit(np.repeat(x, n, axis=0), np.repeat(y, n), np.ones(n.sum())))
+    rows = [(i, f"t{i} " + ("grumpkin" if i % 8 == 0 else "plain") + f" u{i}") for i in range(130_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = toxicity.train_model(d, d.select("doc_id", (F.col("doc_id") % 8 == 0).cast("int").alias("toxic")))
+    held = {v["doc_id"] for v in d.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).filter("h").collect()}
+    kept = [i for i, _ in rows if i not in held]
+    assert len(kept) > 100_000
+    trie = toxicity.LexiconTrie(model.terms)
+    hit, none = toxicity.features("t1 grumpkin u1", trie), toxicity.features("t1 plain u1", trie)
+    n_toxic = sum(i % 8 == 0 for i in kept)
+    assert hit[0] > 0 and np.allclose(model.weights, toxicity._fit(np.array([hit, none]), np.array([1.0, 0.0]), np.array([n_toxic, len(kept) - n_toxic], float)))
+
+
 def test_levenshtein_trie():
     trie = toxicity.LexiconTrie(["moron", "disgusting", "vequ*", "ass"])
     assert [trie.match(w) for w in ("moron", "morno", "morn", "disgustign", "disgsting", "vequance", "as", "asse", "moralist", "maroons")] == [1, 2, 0, 2, 2, 1, 0, 0, 0, 0]
