@@ -5,7 +5,7 @@ one node of the style tree.  A node's presentation importance is the entropy of
 child sequences over the host's pages, a content node's that of its texts, both to
 base m for m pages.  A branch's importance is the largest in it; branches whose
 importance is low are removed from each page.  Branches whose tag or name states
-their role have a fixed importance: 1 for articles, 0 for menus, headers, footers,
+their role have a fixed importance: 1 for the article's own node, 0 for menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments.
 """
 
@@ -172,7 +172,7 @@ def extract(html: str, style: dict[int, tuple[int, float]], low: float = LOW, mi
     tops = articles or mains
     parts: list[str] = []
     for top in _outermost(tops) if tops else [root]:
-        _collect(top, parts, None if tops else best, low)
+        _collect(top, parts, best, low, bool(tops))
         parts.append(" ")
     return " ".join("".join(parts).split())
 
@@ -196,18 +196,20 @@ def _outermost(nodes: list[Node]) -> list[Node]:
     return out
 
 
-def _collect(top: Node, parts: list[str], best: dict[int, float] | None, low: float) -> None:
-    """Text of the branch in page order, with a space at each border of a block."""
+def _collect(top: Node, parts: list[str], best: dict[int, float], low: float, article: bool) -> None:
+    """Text of the branch in page order, with a space at each border of a block.
+
+    Branches of low importance go, but within an article not an inline one that is part of a sentence."""
     stack: list[Node | str] = [top]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x is not top and (x.role or x.tag in NO_TEXT or (x.tag in CHROME and not (x.tag == "header" and best is None))):
+        if x is not top and (x.role or x.tag in NO_TEXT or (x.tag in CHROME and not (x.tag == "header" and article))):
             parts.append(" ")
             continue
-        if best is not None and x is not top and x.tag not in ("html", "body") and best[id(x)] < low:
+        if x is not top and x.tag not in ("html", "body") and best[id(x)] < low and not (article and _in_sentence(x)):
             parts.append(" ")
             continue
         if x.tag in BLOCKS:
@@ -216,6 +218,10 @@ def _collect(top: Node, parts: list[str], best: dict[int, float] | None, low: fl
         stack += reversed(x.children)
 
 
+def _in_sentence(node: Node) -> bool:
+    return node.tag not in BLOCKS and any(isinstance(x, str) and x.strip() for x in node.parent.children)
+
+
 def style_tree(pages: DataFrame, host: str = "_host", html: str = "_html") -> DataFrame:
     """(host, path, pages, importance) of the merged trees: the larger of presentation and content entropy to base pages (1 for a single page)."""
 
@@ -243,7 +249,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
     count each; input columns named text or n_chars are replaced.  Character references are decoded; white space is one space."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
     bytes_ = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    tree = c.stored(style_tree(pages.select(host.alias("_host"), bytes_.alias("_html"))).filter(F.col("pages") >= min_pages), "style-tree")
+    # copies of a page count once, or a large group of them would make its own text look like the site's frame
+    tree = c.stored(style_tree(pages.select(host.alias("_host"), bytes_.alias("_html")).distinct()).filter(F.col("pages") >= min_pages), "style-tree")
     # only low nodes and the nodes above or below them matter, but a branch needs all its nodes: one list for each host
     lists = tree.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "importance")).alias("_style"))
     small = tree.count() <= broadcast_styles

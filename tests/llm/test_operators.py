@@ -376,3 +376,15 @@ def test_html(spark):
             assert out[10 + i] == re.search("<p>(.*)</p>", rows[5 + i][2])[1]  # the style tree drops what all pages of the host share
         assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_extraction.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_html_style_tree_in_articles(spark):
+    body = [(prose(20), prose(15)) for _ in range(8)]
+    page = "<body><article><h1>{}</h1><div class=box>Join our list <a>now</a></div><ul class=links><li>One<li>Two</ul><p>{} <b>same</b> words</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(h, p)) for i, (h, p) in enumerate(body)]
+    copies = [(100 + i, "http://a.example/copy", rows[0][2]) for i in range(200)]
+    for extra in ([], copies):
+        out = {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(spark.createDataFrame(rows + extra, "page_id long, url string, html string")).collect()}
+        for i, _, html in rows + extra:
+            h, p = body[i if i < 8 else 0]
+            assert out[i] == f"{h} {p} same words"
