@@ -6,7 +6,9 @@ child sequences over the host's pages, a content node's that of its texts, both
 base m for m pages.  A branch's importance is the largest in it; branches whose
 importance is low are removed from each page.  Branches whose tag or name states
 their role have a fixed importance: 1 for the article's own node, 0 for menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments.
+sidebars, notices, adverts, forms, scripts, styles and reader comments.  A name states
+a role only as a whole (``cookie-notice``, not ``with-sidebar``), and does not hold
+for a branch with the page's only article in it, nor, where it may mean content, for one of high importance.
 """
 
 from __future__ import annotations
@@ -34,12 +36,15 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("html body article section main div ul ol dl table nav header footer aside form blockquote td th".split())
 CLOSES_P = BLOCKS - frozenset("br body html td th tr tbody thead tfoot caption option".split())
-#: Words in class, id or role that name a part of the page that is not the article.
+#: Words of which a class, id or role that names a part of the page other than the article is made.
 ROLES = frozenset(
     "ad ads advert advertisement adverts adsense sponsor sponsored promo promoted promotion banner nav navbar navigation navigate menu menubar breadcrumb breadcrumbs toolbar masthead topbar header footer foot "
     "sidebar aside rail widget complementary cookie cookies consent gdpr notice alert popup modal overlay toast newsletter subscribe subscription signup signin login register search share sharing social "
     "comment comments commentlist reply replies respond discussion disqus related recommended recommendations pagination pager skip contentinfo form".split()
 )
+#: Of these, names of other people's articles, and names that an article's own parts may have too.
+OTHERS = frozenset("comment comments commentlist reply replies respond disqus related recommended recommendations".split())
+UNSURE = frozenset("header banner masthead notice alert form register search discussion promotion subscription toolbar rail".split())
 _NAME = re.compile(r"[a-z]+|\d+", re.I)
 _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -47,7 +52,7 @@ _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     __slots__ = ("tag", "name", "parent", "children", "role", "path")
 
-    def __init__(self, tag: str, name: str, parent: Node | None, role: bool):
+    def __init__(self, tag: str, name: str, parent: Node | None, role: int):
         self.tag, self.name, self.parent, self.role = tag, name, parent, role
         self.children: list[Node | str] = []
         self.path = f"{parent.path}/{name}" if parent else name
@@ -58,24 +63,35 @@ def role_words(attrs: dict[str, str | None]) -> list[str]:
     return [w.lower() for w in _NAME.findall(text)]
 
 
+def stated_role(attrs: dict[str, str | None]) -> int:
+    """3 for a part of others' making, 2 for another part that is not the article, 1 for one that may be, 0 for none."""
+    found = 0
+    for name in " ".join(attrs.get(k) or "" for k in ("class", "id", "role")).split():
+        words = [w.lower() for w in _NAME.findall(_SPLIT_CAMEL.sub(" ", name)) if not w.isdigit()]
+        if words and all(w in ROLES for w in words):
+            found = max(found, 3 if any(w in OTHERS for w in words) else 1 if all(w in UNSURE for w in words) else 2)
+    return found
+
+
 class TreeBuilder(HTMLParser):
     """A forgiving DOM of elements and texts; what is left open closes with its parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", "", None, False)
+        self.root = self.at = Node("#root", "", None, 0)
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
             self._close(("p",))
         if tag in CLOSES:
             self._close(CLOSES[tag])
-        words, role = [], False
+        words, role = [], 0
         if attrs:
             named = dict(attrs)
             words = role_words(named)
             hidden = "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style") or "") is not None
-            role = hidden or (tag not in ("html", "body", "article", "main") and any(w in ROLES for w in words)) or (tag in ("article", "main") and any(w in ("comment", "comments", "reply") for w in words))
+            stated = stated_role(named) if words else 0
+            role = 3 if hidden or (tag in ("article", "main") and stated == 3) else 0 if tag in ("html", "body", "article", "main") else stated
         name = ".".join([tag, *(w for w in words[:3] if not w.isdigit())]) if words else tag
         node = Node(tag, name, self.at, role)
         self.at.children.append(node)
@@ -163,10 +179,16 @@ def extract(html: str, style: dict[int, tuple[int, float]], low: float = LOW, mi
     root = parse(html)
     nodes = list(walk(root))
     own = {id(n): style.get(path_key(n.path), (0, 1.0)) for n in nodes}
-    best = {}
+    kind = "article" if any(n.tag == "article" and n.role < 3 for n in nodes) else "main"
+    wrapped = not any(n.tag == kind and not _dropped(n, root) for n in nodes)  # else those within other parts are teasers
+    best, holds = {}, set()  # holds: nodes with an article or main element in their branch
     for n in reversed(nodes):  # children come after their parents
         pages, value = own[id(n)]
         best[id(n)] = max([value if pages >= min_pages else 1.0, *(best[id(x)] for x in n.children if isinstance(x, Node))])
+        if n.role and n.role < 3 and ((wrapped and id(n) in holds) or (n.role == 1 and best[id(n)] >= low)):
+            n.role = 0
+        if not n.role and (n.tag in ("article", "main") or id(n) in holds):
+            holds.add(id(n.parent))
     articles = [n for n in nodes if n.tag == "article" and not _dropped(n, root)]
     mains = [n for n in nodes if n.tag == "main" and not _dropped(n, root)]
     tops = articles or mains

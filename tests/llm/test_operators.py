@@ -388,3 +388,17 @@ def test_html_style_tree_in_articles(spark):
         for i, _, html in rows + extra:
             h, p = body[i if i < 8 else 0]
             assert out[i] == f"{h} {p} same words"
+
+
+@pytest.mark.parametrize("wrapper", ["class='layout with-sidebar'", "id='page-header-fixed'", "class='has-banner'", "class='layout sidebar'"])
+def test_html_role_names_keep_wrapped_articles(wrapper):
+    page = f"<body><div {wrapper}><article><div class='entry-header'><h1>Title</h1></div><section id=discussion>We discuss</section><section id=related-work>Others</section><p class=notice>Note</p><div class=register>Voices</div><div class='cookie-notice'>No</div><div class=comments><article>Me too</article></div></article></div></body>"
+    assert html_extraction.extract(page, {}) == "Title We discuss Others Note Voices"
+    assert html_extraction.extract("<main><article>Text</article><div class=sidebar><article>Teaser</article></div></main>", {}) == "Text"
+
+
+def test_html_role_names_of_low_importance(spark):
+    page = "<body><article><p>{}</p><div class=notice>Read our terms</div><section id=discussion>{}</section><div class=ad>{}</div></article></body>"
+    body = [(prose(9), prose(9), prose(5)) for _ in range(8)]
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", page.format(*b)) for i, b in enumerate(body)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(pages).collect()} == {i: f"{a} {b}" for i, (a, b, _) in enumerate(body)}
