@@ -29,22 +29,20 @@ def reflect_index(i: np.ndarray, n: int) -> np.ndarray:
     return np.where(i < 0, left, np.where(i >= n, right, i))
 
 
-def reflect(i: Column, n: Column) -> Column:
-    return F.when(i < 0, F.least(-i - 1, n - 1)).when(i >= n, F.greatest(2 * n - 2 - i, F.lit(0))).otherwise(i)
-
-
-def clamp(i: Column, n: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(i, n - 1))
-
-
-def filter_array(values: Column, taps: list[float] | tuple[float, ...], boundary=reflect, radius: int | None = None) -> Column:
-    """Correlation of an array with taps, inside the JVM; ``boundary`` maps indices beyond the ends."""
-    r = len(taps) // 2 if radius is None else radius
-    w = F.array(*map(F.lit, taps))
-    n = F.size(values)
-    offsets = F.sequence(F.lit(0), F.lit(len(taps) - 1))
-    one = lambda c: F.aggregate(offsets, F.lit(0.0), lambda acc, k: acc + F.get(w, k) * F.get(values, boundary(c + k - r, n)))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(values)
+def clamp_index(i: np.ndarray, n: int) -> np.ndarray:
+    return np.clip(i, 0, n - 1)
+
+
+def filter_rows(a: np.ndarray, taps, boundary=reflect_index, radius: int | None = None) -> np.ndarray:
+    """Correlation of each row with taps; ``boundary`` maps indices beyond the ends."""
+    n, r = a.shape[1], len(taps) // 2 if radius is None else radius
+    out = np.zeros_like(a, dtype=np.result_type(a, np.float32))
+    if not n:
+        return out
+    wide = np.take(a, boundary(np.arange(-r, n + len(taps) - 1 - r), n), axis=1)
+    for k, w in enumerate(taps):
+        out += out.dtype.type(w) * wide[:, k : k + n]
+    return out
 
 
 def natural_key(name: Column) -> Column:

@@ -34,16 +34,11 @@ class Params:
         return self
 
 
-def filter_axis(a: np.ndarray, taps, axis: int, boundary=tp.reflect_index, radius: int | None = None) -> np.ndarray:
-    n, r = a.shape[axis], len(taps) // 2 if radius is None else radius
-    out = np.zeros_like(a, dtype=np.result_type(a, np.float32))
-    for k, w in enumerate(taps):
-        out += w * np.take(a, boundary(np.arange(n) + k - r, n), axis=axis)
-    return out
+clamp_index = tp.clamp_index
 
 
-def clamp_index(i: np.ndarray, n: int) -> np.ndarray:
-    return np.clip(i, 0, n - 1)
+def filter_axis(a: np.ndarray, taps, axis: int, boundary=tp.reflect_index, radius: int | None = None) -> np.ndarray:
+    return tp.filter_rows(a.T, taps, boundary, radius).T if axis == 0 else tp.filter_rows(a, taps, boundary, radius)
 
 
 def blur(a: np.ndarray, sigma_y: float, sigma_x: float) -> np.ndarray:
@@ -117,103 +112,233 @@ def patch_sigma(a: np.ndarray, taps=tp.DB3_ROBUST) -> float:
     return 3.96 * mad(filter_axis(filter_axis(a.astype(np.float64), tp.gaussian(2.0), 0, clamp_index), taps, 1, clamp_index, 3))
 
 
+def patch_sigmas(patches: np.ndarray, taps=tp.DB3_ROBUST) -> np.ndarray:
+    """``patch_sigma`` of many patches of one size at a time."""
+    n, h, w = patches.shape
+    down = tp.filter_rows(np.ascontiguousarray(patches.astype(np.float64).transpose(0, 2, 1)).reshape(n * w, h), tp.gaussian(2.0), clamp_index)
+    flat = tp.filter_rows(np.ascontiguousarray(down.reshape(n, w, h).transpose(0, 2, 1)).reshape(n * h, w), taps, clamp_index, 3).reshape(n, h * w)
+    return 3.96 * np.median(np.abs(flat - np.median(flat, axis=1, keepdims=True)), axis=1)
+
+
 def noise_sigma_robust(a: np.ndarray, taps=tp.DB3_ROBUST, size: int = 64) -> float:
+    """Smallest positive noise level of the overlapping tiles; that of the whole image if there is none."""
     h, w = a.shape
     if h < 16 or w < 16:
         return 0.0
-    found = [patch_sigma(a[r : r + size, c : c + size], taps) for r in range(0, max(0, h - size), size // 2) for c in range(0, max(0, w - size), size // 2)]
-    return min([s for s in found if s > 0], default=None) or patch_sigma(a, taps)
+    rows, cols = np.arange(0, max(0, h - size), size // 2), np.arange(0, max(0, w - size), size // 2)
+    if not len(rows) or not len(cols):
+        return patch_sigma(a, taps)
+    views = np.lib.stride_tricks.sliding_window_view(a, (size, size))
+    found = np.concatenate([patch_sigmas(views[r, cols], taps) for r in rows])
+    return float(found[found > 0].min(initial=np.inf)) if (found > 0).any() else patch_sigma(a, taps)
 
 
-def match_rows(pilot: np.ndarray, r0: int, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the references of one grid row: (columns, and by reference rows, columns and distances of the matches, -1 where there is none)."""
-    h, w = pilot.shape
-    size, half = p.patch, p.window // 2
-    views = np.lib.stride_tricks.sliding_window_view(pilot, (size, size))
-    refs = np.arange(0, w - size + 1, p.step)
-    rows = np.arange(max(0, r0 - half), min(r0 + half, h - size) + 1, p.step)
-    first = np.maximum(0, refs - half)
-    n_cols = (np.minimum(refs + half, w - size) - first) // p.step + 1
-    at = first[:, None] + np.arange(n_cols.max()) * p.step
-    ok = np.arange(n_cols.max()) < n_cols[:, None]
-    cols = np.where(ok, at, 0)
-    cand = views[rows[:, None, None], cols[None]].reshape(len(rows), len(refs), -1, size * size)
-    own = views[r0, refs].reshape(len(refs), 1, size * size)
-    dist = np.stack([((c - own) ** 2).sum(-1) for c in cand], 1)  # reference, row, column
-    dist = np.where(ok[:, None, :], dist, np.inf)
-    rr = np.broadcast_to(rows[None, :, None], dist.shape)
-    cc = np.broadcast_to(cols[:, None, :], dist.shape)
-    itself = (rr == r0) & (cc == refs[:, None, None])
-    dist = np.where(itself, np.inf, dist).reshape(len(refs), -1)
+@dataclass(frozen=True)
+class Tile:
+    """Where an array stands in its image: the image's height and width, and the array's first row and column there."""
+
+    height: int
+    width: int
+    top: int = 0
+    left: int = 0
+
+
+def _grid(first: int, n: int, total: int, p: Params) -> np.ndarray:
+    """References along an axis (places in the image) whose candidates all lie in the part [first, first + n) of it."""
+    at, half = np.arange(0, total - p.patch + 1, p.step), p.window // 2
+    return at[(np.maximum(0, at - half) >= first) & (np.minimum(at + half, total - p.patch) + p.patch <= first + n)]
+
+
+def _offsets(refs: np.ndarray, total: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to candidates along an axis, and by reference which of them hold: from max(0, r - half) on by steps, to r + half at most."""
+    half = p.window // 2
+    off = np.union1d(np.arange(-half, half + 1, p.step), np.arange(-(half // p.step) * p.step, half + 1, p.step))
+    first = np.maximum(0, refs - half) - refs
+    rest = off[None] - first[:, None]
+    return off, (rest >= 0) & (rest % p.step == 0) & (refs[:, None] + off[None] <= total - p.patch)
+
+
+def match_grid(pilot: np.ndarray, rows: np.ndarray, cols: np.ndarray, p: Params, tile: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the references rows x cols (evenly spaced places in the image): rows, columns and distances of the matches, the reference first, -1 where there is none.
+
+    One offset at a time: squared differences of the whole band, summed over patches that begin on the grid."""
+    size, step = p.patch, p.step
+    (dr, ok_r), (dc, ok_c) = _offsets(rows, tile.height, p), _offsets(cols, tile.width, p)
+    n = len(rows) * len(cols)
+    dist = np.full((len(dr) * len(dc), len(rows), len(cols)), np.inf, pilot.dtype)
+    for i, a in enumerate(dr):
+        vr = np.flatnonzero(ok_r[:, i])
+        if not len(vr):
+            continue
+        r0, nr = rows[vr[0]] - tile.top, len(vr)
+        span_r = (nr - 1) * step + size
+        for j, b in enumerate(dc):
+            vc = np.flatnonzero(ok_c[:, j])
+            if not len(vc) or a == b == 0:
+                continue
+            c0, nc = cols[vc[0]] - tile.left, len(vc)
+            span_c = (nc - 1) * step + size
+            d = pilot[r0 : r0 + span_r, c0 : c0 + span_c] - pilot[r0 + a : r0 + a + span_r, c0 + b : c0 + b + span_c]
+            d *= d
+            by_row = d[0 : (nr - 1) * step + 1 : step].copy()
+            for k in range(1, size):
+                by_row += d[k : k + (nr - 1) * step + 1 : step]
+            total = by_row[:, 0 : (nc - 1) * step + 1 : step].copy()
+            for k in range(1, size):
+                total += by_row[:, k : k + (nc - 1) * step + 1 : step]
+            dist[i * len(dc) + j, vr[0] : vr[-1] + 1, vc[0] : vc[-1] + 1] = total
+    dist = np.ascontiguousarray(dist.reshape(len(dist), n).T)
     k = max(0, min(p.matches - 1, dist.shape[1]))
-    order = np.argsort(dist, axis=1, kind="stable")[:, :k]  # candidates stand in (row, column) order
+    order = np.argsort(dist, axis=1, kind="stable")[:, :k]  # offsets stand in (row, column) order
     d = np.take_along_axis(dist, order, 1)
     none = ~np.isfinite(d)
-    mr = np.where(none, -1, np.take_along_axis(rr.reshape(len(refs), -1), order, 1))
-    mc = np.where(none, -1, np.take_along_axis(cc.reshape(len(refs), -1), order, 1))
-    start = np.zeros((len(refs), 1))
-    return refs, np.hstack([start.astype(int) + r0, mr]), np.hstack([refs[:, None], mc]), np.hstack([start, np.where(none, -1.0, d)])
+    rr, cc = np.repeat(rows, len(cols))[:, None], np.tile(cols, len(rows))[:, None]
+    mr = np.where(none, -1, rr + dr[order // len(dc)])
+    mc = np.where(none, -1, cc + dc[order % len(dc)])
+    return np.hstack([rr, mr]), np.hstack([cc, mc]), np.hstack([np.zeros((n, 1)), np.where(none, -1.0, d)])
+
+
+def match_rows(pilot: np.ndarray, r0: int, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the references of one grid row: their columns, and the matches as of ``match_grid``."""
+    tile = Tile(*pilot.shape)
+    cols = _grid(0, tile.width, tile.width, p)
+    return cols, *match_grid(pilot, np.array([r0]), cols, p, tile)
 
 
 _H2 = np.array([[1.0, 1.0], [1.0, -1.0]])
 HADAMARD_8 = np.kron(np.kron(_H2, _H2), _H2)
 
 
-def _forward(groups: np.ndarray, hadamard: bool) -> np.ndarray:
-    if hadamard:
-        return np.fft.fft(HADAMARD_8 @ groups @ HADAMARD_8, axis=1)
-    return np.fft.fftn(groups, axes=(1, 2, 3))
+def _spectra(patches: np.ndarray, hadamard: bool) -> np.ndarray:
+    """2-D transforms of patches; of the Fourier transform the half that tells the rest."""
+    return HADAMARD_8.astype(patches.dtype) @ patches @ HADAMARD_8.astype(patches.dtype) if hadamard else np.fft.rfft2(patches)
 
 
-def _inverse(coeff: np.ndarray, hadamard: bool) -> np.ndarray:
+def _patches(spectra: np.ndarray, size: int, hadamard: bool) -> np.ndarray:
+    return HADAMARD_8 @ spectra.real @ HADAMARD_8 / 64 if hadamard else np.fft.irfft2(spectra, (size, size))
+
+
+def _doubled(size: int, hadamard: bool) -> np.ndarray:
+    """How many coefficients of the whole spectrum each one of the half stands for."""
     if hadamard:
-        return (HADAMARD_8 @ np.fft.ifft(coeff, axis=1).real @ HADAMARD_8) / 64
-    return np.fft.ifftn(coeff, axes=(1, 2, 3)).real
+        return np.ones((size, size))
+    v = np.arange(size // 2 + 1)
+    return np.broadcast_to(np.where((v == 0) | (2 * v == size), 1.0, 2.0), (size, len(v)))
+
 
+#: References that are matched at a time, and groups that are filtered at a time (so few that they stay in the processor's cache).
+REFERENCES, GROUPS = 4096, 256
 
-def collaborative_filter(noisy: np.ndarray, pilot: np.ndarray, p: Params, wiener: bool, sigma_map: np.ndarray | None = None, psd: np.ndarray | None = None) -> np.ndarray:
+
+def collaborative_filter(noisy: np.ndarray, pilot: np.ndarray, p: Params, wiener: bool, sigma_map: np.ndarray | None = None, psd: np.ndarray | None = None, tile: Tile | None = None) -> np.ndarray:
     """One pass: groups of similar patches are transformed, shrunk, and added back with weights; uncovered pixels stay.
 
-    ``sigma_map`` is a column profile or an image; with ``psd`` the noise of a coefficient is coloured by it."""
-    h, w = noisy.shape
+    ``sigma_map`` is a column profile or an image of the array's size; with ``psd`` the noise of a coefficient is coloured by it.
+    The array may be a ``tile`` of an image: then pixels nearer than ``reach`` to an edge within the image are not final.
+    The transform is linear, so each patch is transformed once, not once a group; what the groups make of it is added up
+    in the transformed domain and transformed back once.  Computed in single precision for float32 images."""
+    tile = tile or Tile(*noisy.shape)
     size = p.patch
-    if h < size or w < size:
+    if tile.height < size or tile.width < size:
         return noisy.copy()
-    noisy, pilot = noisy.astype(np.float64), pilot.astype(np.float64)
-    num, den = np.zeros(h * w), np.zeros(h * w)
+    real = np.float32 if noisy.dtype == np.float32 else np.float64
+    noisy, pilot = np.ascontiguousarray(noisy, real), np.ascontiguousarray(pilot, real)
+    h, w = noisy.shape
+    num, den = np.zeros((h, w), real), np.zeros((h, w), real)
     src, ref = (np.lib.stride_tricks.sliding_window_view(x, (size, size)) for x in (noisy, pilot))
-    blend = tp.blend_window(size)
-    inside = (np.arange(size)[:, None] * w + np.arange(size)).ravel()
+    blend = tp.blend_window(size).astype(real)
+    twice = _doubled(size, p.hadamard).ravel().astype(real)
     s2 = p.sigma_random**2
-    for r0 in range(0, h - size + 1, p.step):
-        cols, mr, mc, _ = match_rows(pilot, r0, p)
+    colours = None if psd is None else (psd[:, : size if p.hadamard else size // 2 + 1] ** 2).ravel().astype(real)
+    all_rows, cols = _grid(tile.top, h, tile.height, p), _grid(tile.left, w, tile.width, p)
+    band = max(1, REFERENCES // max(1, len(cols)))
+    for first in range(0, len(all_rows) if len(cols) else 0, band):
+        mr, mc, _ = match_grid(pilot, all_rows[first : first + band], cols, p, tile)
+        own_r, own_c = mr[:, 0] - tile.top, mc[:, 0] - tile.left
+        local = np.zeros(len(mr), real) if sigma_map is None else (sigma_map[own_c] if sigma_map.ndim == 1 else sigma_map[own_r, own_c]).astype(real)
         counts = (mr >= 0).sum(1)
-        local = np.zeros(len(cols)) if sigma_map is None else sigma_map[cols] if sigma_map.ndim == 1 else sigma_map[r0, cols]
+        flat = np.where(mr >= 0, (mr - tile.top) * w + mc - tile.left, -1)
+        places = np.unique(flat[flat >= 0])
+        index = np.searchsorted(places, flat)
+        pr, pc = places // w, places % w
+        spec = _spectra(src[pr, pc], p.hadamard).reshape(len(places), -1)
+        spec_ref = _spectra(ref[pr, pc], p.hadamard).reshape(len(places), -1) if wiener else None
+        added, weights = np.zeros((len(places), spec.shape[1]), np.result_type(spec.dtype, np.complex64)), np.zeros(len(places), real)
         for k in np.unique(counts):
-            at = np.flatnonzero(counts == k)
-            rows_, cols_ = mr[at, :k], mc[at, :k]
-            coeff = _forward(src[rows_, cols_], p.hadamard)
-            colour = 0.0 if psd is None else k * k * (psd[None] * local[at, None, None]) ** 2
-            var = ((k * s2 + colour) * size * size) * np.ones((len(at), size, size))
-            var = var[:, None]
-            if wiener:
-                q = np.abs(_forward(ref[rows_, cols_], p.hadamard)) ** 2
-                gain = q / (q + var + 1e-8)
-                weight = np.minimum(1e6, 1 / ((gain**2).sum((1, 2, 3)) * s2 + 1e-8))
+            dft = np.fft.fft(np.eye(k)).astype(added.dtype)
+            idft = dft.conj() / dft.dtype.type(k)
+            alike = np.flatnonzero(counts == k)
+            for at in np.split(alike, range(GROUPS, len(alike), GROUPS)):
+                ix = index[at, :k]
+                coeff = dft @ spec[ix]
+                var = np.full((len(at), 1, spec.shape[1]), k * s2 * size * size, real)
+                if colours is not None:
+                    var += (k * k * size * size) * (local[at] ** 2)[:, None, None] * colours
+                if wiener:
+                    q = dft @ spec_ref[ix]
+                    gain = q.real**2
+                    gain += q.imag**2
+                    var += real(1e-8)
+                    gain /= gain + var
+                    weight = np.minimum(1e6, 1 / ((np.einsum("nkc,nkc->nc", gain, gain) @ twice) * s2 + 1e-8)).astype(real)
+                else:
+                    gain = coeff.real**2
+                    gain += coeff.imag**2
+                    var *= real(p.threshold**2)
+                    gain = (gain >= var).astype(real)
+                    weight = (1.0 / (gain.sum(1) @ twice + 1)).astype(real)
+                gain *= weight[:, None, None]
                 coeff *= gain
-            else:
-                keep = np.abs(coeff) ** 2 >= p.threshold**2 * var
-                coeff *= keep
-                weight = 1.0 / (keep.sum((1, 2, 3)) + 1)
-            back = _inverse(coeff, p.hadamard)
-            wb = weight[:, None, None, None] * blend
-            flat = ((rows_ * w + cols_)[..., None] + inside).ravel()
-            np.add.at(num, flat, (back * wb).ravel())
-            np.add.at(den, flat, np.broadcast_to(wb, back.shape).ravel())
-    out = noisy.ravel().copy()
+                back = (idft @ coeff).reshape(-1, spec.shape[1])
+                to = ix.ravel()
+                order = np.argsort(to, kind="stable")
+                begin = np.flatnonzero(np.diff(to[order], prepend=-1))
+                added[to[order[begin]]] += np.add.reduceat(back[order], begin, axis=0)
+                weights += np.bincount(to, np.repeat(weight, k), len(places)).astype(real)
+        patches = _patches(added.reshape(len(places), size, -1), size, p.hadamard) * blend
+        for i in range(size):
+            for j in range(size):  # places differ, so nothing is added twice at once
+                num[pr + i, pc + j] += patches[:, i, j]
+                den[pr + i, pc + j] += weights * blend[i, j]
     good = den > 1e-6
-    out[good] = num[good] / den[good]
-    return out.reshape(h, w)
+    return np.where(good, num / np.where(good, den, 1), noisy)
+
+
+def reach(p: Params) -> int:
+    """How far one pass looks, in whole steps."""
+    return -(-(2 * (p.window // 2) + p.patch) // p.step) * p.step
+
+
+def two_passes(z: np.ndarray, p: Params, sigma_map: np.ndarray, psd: np.ndarray | None, tile: Tile | None = None, inner: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    """Hard threshold, then Wiener with its result as pilot.
+
+    Of a ``tile`` that reaches two ``reach`` beyond ``inner`` (rows and columns from, to) or to the image's edge, ``inner`` is returned."""
+    first = collaborative_filter(z, z, p, False, sigma_map, psd, tile)
+    if tile is None:
+        return collaborative_filter(z, first, p, True, sigma_map, psd)
+    r0, r1, c0, c1 = inner
+    a, b = max(tile.top, r0 - reach(p)), min(tile.top + z.shape[0], r1 + reach(p))
+    l, r = max(tile.left, c0 - reach(p)), min(tile.left + z.shape[1], c1 + reach(p))
+    cut = np.s_[a - tile.top : b - tile.top, l - tile.left : r - tile.left]
+    levels = sigma_map[cut[1]] if sigma_map.ndim == 1 else sigma_map[cut]
+    out = collaborative_filter(z[cut], first[cut], p, True, levels, psd, Tile(tile.height, tile.width, a, l))
+    return out[r0 - a : r1 - a, c0 - l : c1 - l]
+
+
+def tiles(height: int, width: int, side: int, p: Params) -> list[tuple[tuple[int, int, int, int], Tile, tuple[slice, slice]]]:
+    """An image in tiles of about ``side``: (inner part, tile, and its slices of the image with the edge that two passes need)."""
+
+    def cuts(n: int) -> list[tuple[int, int]]:
+        parts = max(1, round(n / side))
+        at = [min(n, round(i * n / parts / p.step) * p.step) for i in range(parts)] + [n]
+        return [(x, y) for x, y in zip(at, at[1:]) if y > x]
+
+    far, out = 2 * reach(p), []
+    for r0, r1 in cuts(height):
+        for c0, c1 in cuts(width):
+            top, left = max(0, r0 - far), max(0, c0 - far)
+            out.append(((r0, r1, c0, c1), Tile(height, width, top, left), np.s_[top : min(height, r1 + far), left : min(width, c1 + far)]))
+    return out
 
 
 def fourier_energy(a: np.ndarray, notch_width: float = 2.0) -> np.ndarray:
@@ -257,24 +382,47 @@ def fourier_svd(a: np.ndarray, fft_alpha: float = 1.0, notch_width: float = 2.0)
 MODES = ("generic", "streak", "multiscale_streak", "fourier_svd")
 
 
-def remove_rings(a: np.ndarray, mode: str = "generic", p: Params | None = None) -> np.ndarray:
-    """Two-pass filtering of one image: normalise, subtract streaks by mode, hard threshold, Wiener, denormalise."""
+@dataclass(frozen=True)
+class Prepared:
+    """An image ready for the two passes: scaled, without streaks, with noise levels by column; ``flat`` where there is nothing to filter."""
+
+    z: np.ndarray
+    levels: np.ndarray
+    psd: np.ndarray | None
+    params: Params
+    lo: float
+    hi: float
+    flat: bool = False
+
+    def finish(self, filtered: np.ndarray) -> np.ndarray:
+        return np.full(self.z.shape, self.lo, self.z.dtype) if self.flat else (filtered * (self.hi - self.lo) + self.lo).astype(self.z.dtype)
+
+
+def prepare(a: np.ndarray, mode: str = "generic", p: Params | None = None, ends: tuple[float, float] | None = None, sigma_map: np.ndarray | None = None) -> Prepared:
+    """Scale to [0, 1] by the image's own ends or given ones, take noise levels (or given ones), subtract streaks by mode.  float32 stays float32."""
     p = (p or Params()).checked()
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if min(a.shape) < p.patch:
         raise ValueError("the image is smaller than a patch")
-    lo, hi = float(a.min()), float(a.max())
-    if hi - lo <= 1e-10:
-        return np.full(a.shape, lo)
-    z = (a.astype(np.float64) - lo) / (hi - lo)
-    sigma_map = sigma_profile(z, p.map_smoothing, p.map_scale)
+    a = a if a.dtype == np.float32 else a.astype(np.float64)
+    lo, hi = (float(a.min()), float(a.max())) if ends is None else ends
     streaky = mode in ("streak", "multiscale_streak")
     psd = tp.anisotropic_psd(p.patch, p.psd_width) if streaky else None
-    z = z - streak_profile(z, p.streak_sigma, p.streak_iterations) if streaky else fourier_svd(z) if mode == "fourier_svd" else z
-    p = p if p.sigma_random > 1e-6 else replace(p, sigma_random=noise_sigma(z))
-    first = collaborative_filter(z, z, p, False, sigma_map, psd)
-    return collaborative_filter(z, first, p, True, sigma_map, psd) * (hi - lo) + lo
+    if hi - lo <= 1e-10:
+        if ends is None:
+            return Prepared(a, np.zeros(a.shape[1]), psd, p, lo, hi, True)
+        lo, hi = 0.0, 1.0
+    z = (a - a.dtype.type(lo)) / a.dtype.type(hi - lo)
+    levels = sigma_profile(z, p.map_smoothing, p.map_scale) if sigma_map is None else np.asarray(sigma_map)
+    z = z - streak_profile(z, p.streak_sigma, p.streak_iterations).astype(a.dtype) if streaky else fourier_svd(z).astype(a.dtype) if mode == "fourier_svd" else z
+    return Prepared(z, levels, psd, p if p.sigma_random > 1e-6 or ends is not None else replace(p, sigma_random=noise_sigma(z)), lo, hi)
+
+
+def remove_rings(a: np.ndarray, mode: str = "generic", p: Params | None = None) -> np.ndarray:
+    """Two-pass filtering of one image: normalise, subtract streaks by mode, hard threshold, Wiener, denormalise."""
+    r = prepare(a, mode, p)
+    return r.finish(r.z if r.flat else two_passes(r.z, r.params, r.levels, r.psd))
 
 
 def bin_columns(a: np.ndarray) -> np.ndarray:
@@ -317,42 +465,69 @@ def column_constant(diff: np.ndarray, sigma: float) -> np.ndarray:
     return p
 
 
+def level_image(a: np.ndarray, s: int) -> np.ndarray:
+    """The image binned ``s`` times."""
+    for _ in range(s):
+        a = bin_columns(a)
+    return a
+
+
+def multiscale_sigma(a: np.ndarray, p: Params) -> float:
+    return p.sigma_random if p.sigma_random > 1e-6 else noise_sigma_robust(a)
+
+
+def level_prepare(a: np.ndarray, s: int, p: Params, add: np.ndarray) -> Prepared | None:
+    """Scale ``s`` of an image, with the profile that the coarser scale gave, ready for the two passes; None if it is smaller than a patch."""
+    work = level_image(a, s) + add
+    if min(work.shape) < p.patch:
+        return None
+    z = work / 2**s
+    local = noise_sigma_robust(z)
+    return prepare(z, "streak", replace(p, threshold=p.threshold * p.filter_strength, window=level_window(p, s), sigma_random=local if local > 0.001 else p.sigma_random))
+
+
+def level_window(p: Params, s: int) -> int:
+    return max(8, p.window >> s)
+
+
+def level_profile(a: np.ndarray, s: int, p: Params, add: np.ndarray, done: np.ndarray | None, sigma: float) -> np.ndarray:
+    """Profile that scale ``s`` gives to the next finer one, from its filtered image (None: it gives on what it got)."""
+    level = level_image(a, s)
+    if done is None:
+        profile = np.broadcast_to(add, level.shape[1:])
+    else:
+        fine = ((a - upper_median(a, 0)) ** 2).mean(0)
+        res = done * 2**s - level
+        med = upper_median(res, 0)
+        var = ((res - med) ** 2).mean(0)
+        width = 1 << s
+        worst = np.array([fine[c * width : (c + 1) * width].max(initial=0.0) for c in range(res.shape[1])])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = np.where(med**2 + var > 0, med**2 / (med**2 + var), 0.0)
+        v = med * np.where(worst > 2 * sigma**2, 0.0, score) ** 8
+        profile = v - running_median(v, 201)
+    return (profile / 2) @ debin_matrix(level_image(a[:1], s - 1).shape[1], p.debin_iterations)
+
+
+def multiscale_finish(a: np.ndarray, add: np.ndarray, done: np.ndarray | None, sigma: float) -> np.ndarray:
+    return a + column_constant((a + add if done is None else done) - a, sigma)
+
+
 def multiscale(a: np.ndarray, p: Params | None = None, scales: int | None = None) -> np.ndarray:
     """Coarse-to-fine streak removal; the result differs from the input by one constant for each column."""
     p = (p or Params(sigma_random=0.0, threshold=3.5, debin_iterations=10)).checked()
+    kind = np.float32 if a.dtype == np.float32 else np.float64
     a = a.astype(np.float64)
-    sigma = p.sigma_random if p.sigma_random > 1e-6 else noise_sigma_robust(a)
-    fine = ((a - upper_median(a, 0)) ** 2).mean(0)
     k = tp.number_of_scales(a.shape[1]) if scales is None else scales
     if k == 0:
-        return remove_rings(a, "streak", p)
-    levels = [a]
-    for _ in range(k):
-        levels.append(bin_columns(levels[-1]))
-    work = levels[k]
+        return remove_rings(a, "streak", p).astype(kind)
+    add, done, sigma = np.zeros(level_image(a[:1], k).shape[1]), None, multiscale_sigma(a, p)
     for s in range(k, -1, -1):
-        if min(work.shape) < p.patch:
-            done, profile = work, work - levels[s]
-        else:
-            z = work / 2**s
-            local = noise_sigma_robust(z)
-            ps = replace(p, threshold=p.threshold * p.filter_strength, window=max(8, p.window >> s), sigma_random=local if local > 0.001 else p.sigma_random)
-            done = remove_rings(z, "streak", ps) * 2**s
-            profile = None
-        if s == 0:
-            break
-        if profile is None:
-            res = done - levels[s]
-            med = upper_median(res, 0)
-            var = ((res - med) ** 2).mean(0)
-            width = 1 << s
-            worst = np.array([fine[c * width : (c + 1) * width].max(initial=0.0) for c in range(res.shape[1])])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                score = np.where(med**2 + var > 0, med**2 / (med**2 + var), 0.0)
-            v = med * np.where(worst > 2 * sigma**2, 0.0, score) ** 8
-            profile = (v - running_median(v, 201))[None]
-        work = levels[s - 1] + (profile / 2) @ debin_matrix(levels[s - 1].shape[1], p.debin_iterations)
-    return a + column_constant(done - a, sigma)
+        r = level_prepare(a, s, p, add)
+        done = None if r is None else r.finish(r.z if r.flat else two_passes(r.z, r.params, r.levels, r.psd))
+        if s:
+            add = level_profile(a, s, p, add, done, sigma)
+    return multiscale_finish(a, add, done, sigma).astype(kind)
 
 
 def residual_kernel(width: int = 64, iterations: int = 10) -> np.ndarray:

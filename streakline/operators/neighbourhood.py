@@ -7,20 +7,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taps as tp
+from ..kernels.images import HADAMARD_8
+from ..kernels.images import running_median as running
 from ..sources import views as vw
 from . import stats as st
 from .pointwise import KEYS, subtract_profile
 
 
-def filter_along_columns(pixels: DataFrame, taps, boundary=tp.reflect, radius: int | None = None) -> DataFrame:
-    """Each image row filtered along its columns: one shuffle into rows, then arrays inside the JVM."""
-    rows = vw.to_rows(pixels)
-    return vw.from_rows(rows.withColumn("values", tp.filter_array(F.col("values"), taps, boundary, radius)))
+def filter_along_columns(pixels: DataFrame, taps, boundary=tp.reflect_index, radius: int | None = None) -> DataFrame:
+    """Each image row filtered along its columns: one shuffle into rows, then whole batches of arrays at once."""
+    return vw.from_rows(vw.map_rows(vw.to_rows(pixels), lambda a: tp.filter_rows(a, taps, boundary, radius)))
 
 
-def filter_along_rows(pixels: DataFrame, taps, boundary=tp.reflect, radius: int | None = None) -> DataFrame:
-    cols = vw.to_columns(pixels)
-    return vw.from_columns(cols.withColumn("values", tp.filter_array(F.col("values"), taps, boundary, radius)))
+def filter_along_rows(pixels: DataFrame, taps, boundary=tp.reflect_index, radius: int | None = None) -> DataFrame:
+    return vw.from_columns(vw.map_rows(vw.to_columns(pixels), lambda a: tp.filter_rows(a, taps, boundary, radius)))
 
 
 def gaussian_rows(pixels: DataFrame, sigma: float) -> DataFrame:
@@ -32,15 +32,15 @@ def gaussian_2d(pixels: DataFrame, sigma_y: float, sigma_x: float) -> DataFrame:
 
 
 def db3_highpass(pixels: DataFrame) -> DataFrame:
-    return filter_along_columns(pixels, tp.DB3_HIGH, tp.clamp, 3)
+    return filter_along_columns(pixels, tp.DB3_HIGH, tp.clamp_index, 3)
 
 
 def fir_db3_robust(pixels: DataFrame, taps=tp.DB3_ROBUST) -> DataFrame:
     """Vertical Gaussian of sigma 2 and horizontal db3, both with clamped edges."""
-    return filter_along_columns(filter_along_rows(pixels, tp.gaussian(2.0), tp.clamp), taps, tp.clamp, 3)
+    return filter_along_columns(filter_along_rows(pixels, tp.gaussian(2.0), tp.clamp_index), taps, tp.clamp_index, 3)
 
 
-def profile_filter(profile: DataFrame, taps, boundary=tp.reflect, radius: int | None = None) -> DataFrame:
+def profile_filter(profile: DataFrame, taps, boundary=tp.reflect_index, radius: int | None = None) -> DataFrame:
     """A profile (slice_id, col, value) filtered along its columns."""
     as_row = profile.select("slice_id", F.lit(0).alias("row"), "col", "value")
     return filter_along_columns(as_row, taps, boundary, radius).select("slice_id", "col", "value")
@@ -48,12 +48,8 @@ def profile_filter(profile: DataFrame, taps, boundary=tp.reflect, radius: int |
 
 def running_median(profile: DataFrame, width: int) -> DataFrame:
     """Median of an odd window with replicated edges."""
-    r = width // 2
     rows = vw.to_rows(profile.select("slice_id", F.lit(0).alias("row"), "col", "value"))
-    n, v = F.size("values"), F.col("values")
-    window = lambda c: F.transform(F.sequence(c - r, c + r), lambda i: F.get(v, tp.clamp(i, n)))
-    med = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.get(F.array_sort(window(c)), F.lit(r)))
-    return vw.from_rows(rows.withColumn("values", med)).select("slice_id", "col", "value")
+    return vw.from_rows(vw.map_rows(rows, lambda a: np.stack([running(v, width) for v in a]))).select("slice_id", "col", "value")
 
 
 def streak_profile(pixels: DataFrame, sigma_smooth: float = 3.0, iterations: int = 1) -> DataFrame:
@@ -190,18 +186,24 @@ def power_iteration(pixels: DataFrame, rounds: int = 20) -> DataFrame:
 
 
 def dft_rows(pixels: DataFrame, n: int = 8) -> DataFrame:
-    """Discrete Fourier transform of each row's first ``n`` values as (re, im)."""
-    rows = vw.to_rows(pixels.filter(F.col("col") < n))
-    k = F.sequence(F.lit(0), F.lit(n - 1))
-    part = lambda f, sign: F.transform(k, lambda u: F.aggregate(k, F.lit(0.0), lambda acc, x: acc + sign * F.get("values", x) * f(u * x * (2 * np.pi / n))))
-    both = rows.select("slice_id", "row", F.posexplode(F.arrays_zip(part(F.cos, 1.0).alias("re"), part(F.sin, -1.0).alias("im"))).alias("col", "z"))
-    return both.select("slice_id", "row", "col", F.col("z.re").alias("re"), F.col("z.im").alias("im"))
-
-
-def wht_rows(pixels: DataFrame, n: int = 8) -> DataFrame:
-    """Walsh-Hadamard transform (natural order, not normalised) of each row's first ``n`` values."""
-    rows = vw.to_rows(pixels.filter(F.col("col") < n))
-    k = F.sequence(F.lit(0), F.lit(n - 1))
-    sign = lambda u, x: 1.0 - 2.0 * (F.bit_count(u.bitwiseAND(x)) % 2)
-    out = F.transform(k, lambda u: F.aggregate(k, F.lit(0.0), lambda acc, x: acc + sign(u, x) * F.get("values", x)))
-    return vw.from_rows(rows.select("slice_id", "row", out.alias("values")))
+    """Discrete Fourier transform of each whole block of ``n`` columns of each row, as (re, im) at the block's columns."""
+    rows = vw.to_rows(pixels)
+
+    def both(a: np.ndarray) -> np.ndarray:
+        z = np.fft.fft(a[:, : a.shape[1] // n * n].reshape(len(a), -1, n))
+        return np.stack([z.real, z.imag], -1).reshape(len(a), -1)
+
+    at = vw.map_rows(rows, both).select("slice_id", "row", F.posexplode("values").alias("at", "v"))
+    col = F.floor(F.col("at") / 2).cast("int").alias("col")
+    part = lambda k: F.max(F.when(F.col("at") % 2 == k, F.col("v")))
+    return at.groupBy("slice_id", "row", col).agg(part(0).alias("re"), part(1).alias("im"))
+
+
+def wht_patches(pixels: DataFrame) -> DataFrame:
+    """2-D Walsh-Hadamard transform (natural order, not normalised) of each whole 8 x 8 block, at the block's pixels."""
+
+    def across(a: np.ndarray) -> np.ndarray:
+        return (a[:, : a.shape[1] // 8 * 8].reshape(len(a), -1, 8) @ HADAMARD_8).reshape(len(a), -1)
+
+    once = vw.from_rows(vw.map_rows(vw.to_rows(pixels), across))
+    return vw.from_columns(vw.map_rows(vw.to_columns(once), across))

@@ -93,10 +93,18 @@ def diverging_range(pixels: DataFrame) -> DataFrame:
     return pixels.filter(finite()).groupBy("slice_id").agg((-F.max(F.abs(V()))).alias("lo"), F.max(F.abs(V())).alias("hi"))
 
 
+def colors_at(levels: DataFrame, table: DataFrame) -> DataFrame:
+    """Pixels with a level 0..255 through a table (level, red, green, blue) of 256 rows."""
+    return levels.join(F.broadcast(table), "level").select(*KEYS, "red", "green", "blue")
+
+
+def _level(x):
+    return F.greatest(F.lit(0), F.least(F.lit(255), (x * 255).cast("int"))).alias("level")
+
+
 def colormap(normal: DataFrame, table: DataFrame) -> DataFrame:
-    """Values in 0..1 through a table (level, red, green, blue) of 256 levels."""
-    level = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(V() * 255 + 0.5))).cast("int")
-    return normal.select(*KEYS, level.alias("level")).join(F.broadcast(table), "level").select(*KEYS, "red", "green", "blue")
+    """Values in 0..1 through a table of 256 levels; levels are truncated."""
+    return colors_at(normal.select(*KEYS, _level(V())), table)
 
 
 def grayscale_table(spark) -> DataFrame:
@@ -104,8 +112,41 @@ def grayscale_table(spark) -> DataFrame:
     return spark.range(256).select(i.alias("level"), i.alias("red"), i.alias("green"), i.alias("blue"))
 
 
+# Colours (red, green, blue) at 0, 1/4, 1/2, 3/4 and 1 of the sequential maps.
+SEQUENTIAL = {
+    "viridis": ((68, 1, 84), (49, 54, 149), (53, 183, 121), (180, 222, 44), (253, 231, 37)),
+    "inferno": ((0, 0, 4), (87, 16, 110), (188, 55, 84), (249, 142, 9), (252, 255, 164)),
+    "plasma": ((13, 8, 135), (126, 3, 168), (204, 71, 120), (248, 149, 64), (240, 249, 33)),
+}
+# Lowest, middle and highest colour of the diverging map.
+DIVERGING = ((33, 102, 172), (255, 255, 255), (255, 58, 56))
+
+
+def sequential_table(spark, name: str) -> DataFrame:
+    """Linear between the five colours of a map, truncated."""
+    points, t = SEQUENTIAL[name], F.col("id") / 255.0
+
+    def channel(c: int):
+        piece = [points[k][c] + (t - k / 4) / 0.25 * (points[k + 1][c] - points[k][c]) for k in range(4)]
+        return F.when(t < 0.25, piece[0]).when(t < 0.5, piece[1]).when(t < 0.75, piece[2]).otherwise(piece[3]).cast("int")
+
+    return spark.range(256).select(F.col("id").cast("int").alias("level"), *[channel(c).alias(n) for c, n in enumerate(("red", "green", "blue"))])
+
+
 def diverging_table(spark) -> DataFrame:
-    """Red over white to blue, linear on each side of the middle."""
-    t = F.col("id") / 255.0
-    up, down = F.least(F.lit(1.0), 2 * t), F.least(F.lit(1.0), 2 * (1 - t))
-    return spark.range(256).select(F.col("id").cast("int").alias("level"), (down * 255).cast("int").alias("red"), (F.least(up, down) * 255).cast("int").alias("green"), (up * 255).cast("int").alias("blue"))
+    """Blue at -1 over white at 0 to red at 1, linear on each side, truncated."""
+    t = F.col("id") / 255.0 * 2 - 1
+    low, middle, high = DIVERGING
+    channel = lambda c: F.when(t < 0, low[c] + (1 + t) * (middle[c] - low[c])).otherwise(middle[c] - t * (middle[c] - high[c])).cast("int")
+    return spark.range(256).select(F.col("id").cast("int").alias("level"), *[channel(c).alias(n) for c, n in enumerate(("red", "green", "blue"))])
+
+
+def diverging_colors(pixels: DataFrame) -> DataFrame:
+    """A difference image in diverging colours over the symmetric range of its slice."""
+    m = diverging_range(pixels).select("slice_id", F.col("hi").alias("_m"))
+    share = F.when(F.col("_m") > 0, V() / F.col("_m")).otherwise(0.0)
+    return colors_at(pixels.join(m, "slice_id").select(*KEYS, _level((share + 1) * 0.5)), diverging_table(pixels.sparkSession))
+
+
+def sequential_colors(pixels: DataFrame, name: str) -> DataFrame:
+    return colormap(minmax_slice(pixels), sequential_table(pixels.sparkSession, name))

@@ -18,24 +18,24 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 VIEWS = {
-    "emb": ('img AS (SELECT 0 AS slice_id, CAST(vec_id AS INT) AS "row", CAST(i - 1 AS INT) AS col, CAST(e AS DOUBLE) AS value FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))', vw.embedding_image),
+    "emb": ('img AS (SELECT 0 AS slice_id, CAST(vec_id AS INT) AS "row", CAST(i - 1 AS INT) AS col, CAST(e AS DOUBLE) AS value FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))', vw.embedding_image, vw.embedding_rows),
     "ev": (
         'fx AS (SELECT CAST(floor((epoch(ts) - 1704067200) / 3600) AS INT) AS "row", dense_rank() OVER (ORDER BY user_id) - 1 AS col, value FROM events), '
         'img AS (SELECT 0 AS slice_id, r."row", c.col, coalesce(f.value, 0) AS value FROM (SELECT DISTINCT "row" FROM fx) r CROSS JOIN (SELECT DISTINCT col FROM fx) c '
         'LEFT JOIN (SELECT "row", col, sum(value) AS value FROM fx GROUP BY ALL) f ON f."row" = r."row" AND f.col = c.col)',
-        vw.event_image,
+        vw.event_image, vw.event_rows,
     ),
     "stack": (
         'fx AS (SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS slice_id, CAST(floor((epoch(ts) - 1704067200) / 3600) AS INT) AS "row", dense_rank() OVER (ORDER BY user_id) - 1 AS col, value FROM events), '
         'img AS (SELECT s.slice_id, r."row", c.col, coalesce(f.value, 0) AS value FROM (SELECT DISTINCT slice_id FROM fx) s CROSS JOIN (SELECT DISTINCT "row" FROM fx) r CROSS JOIN (SELECT DISTINCT col FROM fx) c '
         'LEFT JOIN (SELECT slice_id, "row", col, sum(value) AS value FROM fx GROUP BY ALL) f ON f.slice_id = s.slice_id AND f."row" = r."row" AND f.col = c.col)',
-        vw.event_stack,
+        vw.event_stack, vw.event_stack_rows,
     ),
     "li": (
         'fx AS (SELECT (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS "row", dense_rank() OVER (ORDER BY l_suppkey) - 1 AS col, l_extendedprice AS value FROM lineitem), '
         'img AS (SELECT 0 AS slice_id, r."row", c.col, coalesce(f.value, 0) AS value FROM (SELECT DISTINCT "row" FROM fx) r CROSS JOIN (SELECT DISTINCT col FROM fx) c '
         'LEFT JOIN (SELECT "row", col, sum(value) AS value FROM fx GROUP BY ALL) f ON f."row" = r."row" AND f.col = c.col)',
-        vw.lineitem_image,
+        vw.lineitem_image, vw.lineitem_rows,
     ),
 }
 
@@ -88,7 +88,19 @@ query("difference", "emb", _SUB + ', res AS (SELECT i.slice_id, i."row", i.col,
 query("mae_mse_psnr", "emb", _SUB + ', b AS (SELECT i.slice_id, i.value AS x, s.value AS y FROM img i JOIN s ON s.slice_id = i.slice_id AND s."row" = i."row" AND s.col = i.col), res AS (SELECT slice_id, avg(abs(x - y)) AS mae, avg((x - y) ** 2) AS mse, 10 * log10((max(x) - min(x)) ** 2 / avg((x - y) ** 2)) AS psnr FROM b GROUP BY slice_id)', "slice_id", "mae mse psnr", plain=True)(lambda p: st.error_metrics(p, pw.subtract_profile(p, st.column_median(p))))
 query("column_argmax", "emb", "p AS (SELECT slice_id, col, median(value) AS value FROM img GROUP BY ALL), res AS (SELECT slice_id, arg_max(col, value) AS col, max(value) AS value FROM p GROUP BY slice_id)", PROFILE, "value", plain=True)(lambda p: st.column_argmax(st.column_median(p)))
 query("diverging_range", "emb", "SELECT slice_id, -max(abs(value)) AS lo, max(abs(value)) AS hi FROM img GROUP BY slice_id", "slice_id", "lo hi")(pw.diverging_range)
-query("colormap_diverging", "emb", 'e AS (SELECT slice_id, min(value) AS lo, max(value) AS hi FROM img GROUP BY slice_id), l AS (SELECT i.slice_id, "row", col, least(255, floor((value - lo) / (hi - lo) * 255 + 0.5)) / 255.0::DOUBLE AS t FROM img i JOIN e ON e.slice_id = i.slice_id), res AS (SELECT slice_id, "row", col, trunc(least(1, 2 * (1 - t)) * 255) AS red, trunc(least(least(1, 2 * t), least(1, 2 * (1 - t))) * 255) AS green, trunc(least(1, 2 * t) * 255) AS blue FROM l)', PIX + " red green blue", plain=True)(lambda p: pw.colormap(pw.minmax_slice(p), pw.diverging_table(p.sparkSession)))
+_LEVEL = 'e AS (SELECT slice_id, max(abs(value)) AS m FROM img GROUP BY slice_id), l AS (SELECT i.slice_id, "row", col, greatest(0, least(255, trunc((CASE WHEN m > 0 THEN value / m ELSE 0 END + 1) * 0.5::DOUBLE * 255))) / 255.0::DOUBLE * 2 - 1 AS t FROM img i JOIN e ON e.slice_id = i.slice_id), '
+query("colormap_diverging", "emb", _LEVEL + 'res AS (SELECT slice_id, "row", col, trunc(CASE WHEN t < 0 THEN 33 + (1 + t) * (255 - 33) ELSE 255 END) AS red, trunc(CASE WHEN t < 0 THEN 102 + (1 + t) * (255 - 102) ELSE 255 - t * (255 - 58) END) AS green, trunc(CASE WHEN t < 0 THEN 172 + (1 + t) * (255 - 172) ELSE 255 - t * (255 - 56) END) AS blue FROM l)', PIX + " red green blue", plain=True)(pw.diverging_colors)
+_SEQ = 'e AS (SELECT slice_id, min(value) AS lo, max(value) AS hi FROM img GROUP BY slice_id), l AS (SELECT i.slice_id, "row", col, trunc(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END * 255) / 255.0::DOUBLE AS t FROM img i JOIN e ON e.slice_id = i.slice_id), '
+
+
+def _knots(points: tuple) -> str:
+    """SQL of a colour's channels: linear between five even knots, truncated."""
+    one = lambda c: " ".join(f"WHEN t < {(k + 1) / 4}::DOUBLE OR {k} = 3 THEN {points[k][c]} + (t - {k / 4}::DOUBLE) / 0.25::DOUBLE * ({points[k + 1][c]} - {points[k][c]})" for k in range(4))
+    return ", ".join(f"trunc(CASE {one(c)} END) AS {name}" for c, name in enumerate(("red", "green", "blue")))
+
+
+for _name, _points in pw.SEQUENTIAL.items():
+    query(f"colormap_{_name}", "emb", _SEQ + f'res AS (SELECT slice_id, "row", col, {_knots(_points)} FROM l)', PIX + " red green blue", plain=True)(lambda p, n=_name: pw.sequential_colors(p, n))
 
 
 def _taps(sigma: float, name: str = "taps") -> str:
@@ -162,8 +174,8 @@ def _power_sql(rounds: int) -> str:
 
 
 query("power_iteration_k", "ev", _power_sql(3), PROFILE, "value singular_value", plain=True)(lambda p: nb.power_iteration(p, 3))
-query("dft8_group", "emb", 'SELECT a.slice_id, a."row", u AS col, sum(value * cos(2 * pi() * u * a.col / 8)) AS re, -sum(value * sin(2 * pi() * u * a.col / 8)) AS im FROM img a, range(8) r(u) WHERE a.col < 8 GROUP BY a.slice_id, a."row", u', PIX, "re im", digits=5)(nb.dft_rows)
-query("wht8_patch", "emb", 'SELECT a.slice_id, a."row", u AS col, sum(value * (1 - 2 * (bit_count((u & a.col)::INT) % 2))) AS value FROM img a, range(8) r(u) WHERE a.col < 8 GROUP BY a.slice_id, a."row", u', PIX, "value")(nb.wht_rows)
+query("dft8_group", "emb", 'SELECT a.slice_id, a."row", a.col // 8 * 8 + u AS col, sum(value * cos(2 * pi() * u * (a.col % 8) / 8)) AS re, -sum(value * sin(2 * pi() * u * (a.col % 8) / 8)) AS im FROM img a, range(8) r(u) GROUP BY a.slice_id, a."row", a.col // 8, u', PIX, "re im", digits=5)(nb.dft_rows)
+query("wht8_patch", "emb", 'SELECT a.slice_id, a."row" // 8 * 8 + y AS "row", a.col // 8 * 8 + u AS col, sum(value * (1 - 2 * (bit_count((u & (a.col % 8))::INT) % 2)) * (1 - 2 * (bit_count((y & (a."row" % 8))::INT) % 2))) AS value FROM img a, range(8) r(u), range(8) t(y) WHERE a."row" // 8 < (SELECT (max("row") + 1) // 8 FROM img) GROUP BY a.slice_id, a."row" // 8, y, a.col // 8, u', PIX, "value")(nb.wht_patches)
 
 
 def _blocks(pixels: DataFrame) -> DataFrame:
@@ -202,18 +214,20 @@ SQL["shepp_logan"] = (
 
 def kernel(name: str, view: str, fn):
     """Register a kernel on slices; its pixels are returned."""
-    QUERIES[name] = lambda spark, sf_dir: fn(vw.to_slices(VIEWS[view][1](spark, sf_dir)))
+    QUERIES[name] = lambda spark, sf_dir: fn(vw.rows_to_slices(VIEWS[view][2](spark, sf_dir)))
 
 
+#: Views hold few images, so their tiles are shared out.
+SIDE = 512
 kernel("noise_sigma", "ev", lambda s: dn.noise_sigma(s))
 kernel("noise_sigma_robust", "ev", lambda s: dn.noise_sigma(s, robust=True))
 kernel("match_patches_kernel", "emb", lambda s: dn.matches(s))
 kernel("hard_threshold_pass", "emb", lambda s: vw.from_slices(dn.filter_pass(s, False)))
 kernel("wiener_pass", "emb", lambda s: vw.from_slices(dn.filter_pass(s, True)))
 kernel("remove_streaks_generic", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "generic")))
-kernel("remove_streaks_streak", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "streak")))
-kernel("remove_streaks_stack", "stack", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", normalize="stack")))
-kernel("remove_streaks_multiscale", "ev", lambda s: vw.from_slices(dn.remove_streaks(s, multiscale=True, params=dn.parameters("multiscale"))))
+kernel("remove_streaks_streak", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", side=SIDE)))
+kernel("remove_streaks_stack", "stack", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", normalize="stack", side=SIDE)))
+kernel("remove_streaks_multiscale", "ev", lambda s: vw.from_slices(dn.remove_streaks(s, multiscale=True, params=dn.parameters("multiscale"), side=SIDE)))
 kernel("remove_streaks_hadamard", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", dn.parameters(hadamard=True))))
 kernel("fourier_svd", "emb", lambda s: vw.from_slices(dn.fourier_svd(s)))
 QUERIES["radon_sinogram"] = lambda spark, sf_dir: sy.sinogram(vw.to_slices(sy.shepp_logan(spark, 64)), 4.0)

@@ -1,7 +1,8 @@
-"""Composite operators on stacks in slice form: each slice is one row and is filtered where it lies (no shuffle)."""
+"""Composite operators on stacks in slice form: each slice is one row and is filtered where it lies (no shuffle), or in tiles."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
@@ -14,51 +15,213 @@ from ..functions import taps as tp
 from ..kernels import images as k
 from ..sources import views as vw
 
-SLICES = "slice_id int, height int, width int, values array<double>"
+SLICES = "slice_id int, height int, width int, values array<{}>"
+#: Parts of images on their way: tile number (-1: the image itself, waiting), places, numbers, pixels, noise levels or profile.
+TILES = "slice_id int, tile int, place array<int>, numbers array<double>, values array<{0}>, levels array<double>"
+
+
+def _kind(slices: DataFrame) -> str:
+    """Stacks of single precision stay so; all others are computed in double precision."""
+    return "float" if dict(slices.dtypes)["values"] == "array<float>" else "double"
+
+
+def _slices(slices: DataFrame, extra: list[str]) -> DataFrame:
+    return slices.select(*[F.col(c).cast("int").alias(c) for c in ("slice_id", "height", "width")], F.col("values").cast(f"array<{_kind(slices)}>").alias("values"), *extra)
+
+
+def _numpy(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False)
+
+
+def _lists(values: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(np.size, values)]), pa.int32()), pa.array(np.concatenate([np.ravel(v).astype(kind, copy=False) for v in values])))
 
 
 def map_slices(slices: DataFrame, fn: Callable[[np.ndarray], np.ndarray], extra: list[str] | None = None) -> DataFrame:
     """A function of one image on every slice, by Arrow batches of few rows; works on batch and streaming frames alike."""
-    extra = extra or []
-    src = slices.select(F.col("slice_id").cast("int").alias("slice_id"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.col("values").cast("array<double>").alias("values"), *extra)
+    extra, kind = extra or [], _kind(slices)
+    real = np.float32 if kind == "float" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one image at a time: its arrays are all that is held
                 h, w = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                values = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
-                image = values.reshape(h, w)
                 args = [batch.column(4 + j)[i].as_py() for j in range(len(extra))]
-                out = np.asarray(fn(image, *args), np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([out.shape[0]], pa.int32()), pa.array([out.shape[1]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, out.size], pa.int32()), pa.array(out.ravel()))], names=["slice_id", "height", "width", "values"])
+                out = np.asarray(fn(_numpy(batch.column(3), i).reshape(h, w), *args), real)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([out.shape[0]], pa.int32()), pa.array([out.shape[1]], pa.int32()), _lists([out], real)], names=["slice_id", "height", "width", "values"])
+
+    return _slices(slices, extra).mapInArrow(run, SLICES.format(kind))
+
+
+def _rows(slice_id: pa.Array, tile: int, place: tuple, numbers: list[float], values: np.ndarray, levels: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [slice_id, pa.array([tile], pa.int32()), _lists([np.array(place)], np.int32), _lists([np.array(numbers, float)], np.float64), _lists([values], values.dtype), _lists([levels], np.float64)], names=["slice_id", "tile", "place", "numbers", "values", "levels"]
+    )
+
 
-    return src.mapInArrow(run, SLICES)
+def _cut(slice_id: pa.Array, r: k.Prepared, side: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the tiles of a prepared image; a flat one is a single tile that needs no filter (its number of rows to keep is 0)."""
+    h, w = r.z.shape
+    numbers = [r.lo, r.hi, float(r.flat), r.params.sigma_random, r.params.threshold, r.params.window]
+    if r.flat:
+        yield _rows(slice_id, 0, (h, w, 0, 0, 0, h, 0, w, h, w), numbers, r.z, r.levels)
+        return
+    for n, (inner, tile, cut) in enumerate(k.tiles(h, w, side, r.params)):
+        z = r.z[cut]
+        levels = r.levels[cut[1]] if r.levels.ndim == 1 else r.levels[cut]
+        yield _rows(slice_id, n, (h, w, tile.top, tile.left, *inner, *z.shape), numbers, z, levels)
 
 
-def remove_streaks(slices: DataFrame, mode: str = "generic", params: k.Params | None = None, multiscale: bool = False, normalize: str = "slice", sigma_map: list[float] | None = None) -> DataFrame:
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _filter_tiles(tiles: DataFrame, p: k.Params, psd: np.ndarray | None) -> DataFrame:
+    """Both passes on every tile, dealt out evenly over the tasks; waiting images go through as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                number, numbers = row.column(1)[0].as_py(), _numpy(row.column(3), 0)
+                if number < 0 or numbers[2]:
+                    yield row
+                    continue
+                h, w, top, left, r0, r1, c0, c1, th, tw = map(int, _numpy(row.column(2), 0))
+                z, levels = _numpy(row.column(4), 0).reshape(th, tw), _numpy(row.column(5), 0)
+                levels = levels.reshape(th, tw) if levels.size == th * tw and th > 1 else levels
+                at = replace(p, sigma_random=float(numbers[3]), threshold=float(numbers[4]), window=int(numbers[5]))
+                out = k.two_passes(z, at, levels, psd, k.Tile(h, w, top, left), (r0, r1, c0, c1))
+                yield _rows(row.column(0), number, (h, w, top, left, r0, r1, c0, c1, *out.shape), list(numbers), out.astype(z.dtype), np.empty(0))
+
+    return tiles.repartition(_tasks(tiles)).mapInArrow(run, tiles.schema)
+
+
+def _gather(tiles: DataFrame, fn: Callable[[pa.Array, np.ndarray | None, tuple | None], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fn(slice_id, filtered image or None, (waiting image, its numbers, its profile) or None)`` once all tiles of a slice are there."""
+
+    def image(parts: pa.StructArray) -> tuple[np.ndarray | None, tuple | None]:
+        out, waiting = None, None
+        names = {f.name: parts.field(f.name) for f in parts.type}
+        for i in range(len(parts)):
+            place, numbers, values = (_numpy(names[x], i) for x in ("place", "numbers", "values"))
+            h, w, top, left, r0, r1, c0, c1 = map(int, place[:8])
+            if names["tile"][i].as_py() < 0:
+                waiting = values.reshape(h, w), numbers, _numpy(names["levels"], i)
+                continue
+            if out is None:
+                out = np.empty((h, w), values.dtype)
+            lo, hi = numbers[:2]
+            out[r0:r1, c0:c1] = lo if numbers[2] else values.reshape(r1 - r0, c1 - c0) * (hi - lo) + lo
+        return out, waiting
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from fn(batch.column(0).slice(i, 1), *image(batch.column(1)[i].values))
+
+    whole = tiles.groupBy("slice_id").agg(F.collect_list(F.struct("tile", "place", "numbers", "values", "levels")).alias("parts"))
+    return whole.mapInArrow(run, schema)
+
+
+def _image_row(slice_id: pa.Array, out: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([slice_id, pa.array([out.shape[0]], pa.int32()), pa.array([out.shape[1]], pa.int32()), _lists([out], out.dtype)], names=["slice_id", "height", "width", "values"])
+
+
+def _tiled(slices: DataFrame, prepare: Callable[..., k.Prepared], extra: list[str], p: k.Params, psd: np.ndarray | None, side: int) -> DataFrame:
+    """Prepared images (one at a time) in tiles, and back: each time dealt out evenly, since few large rows make few tasks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, w = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                args = [batch.column(4 + j)[i].as_py() for j in range(len(extra))]
+                yield from _cut(batch.column(0).slice(i, 1), prepare(_numpy(batch.column(3), i).reshape(h, w), *args), side)
+
+    kind = _kind(slices)
+    tiles = _slices(slices, extra).repartition(_tasks(slices)).mapInArrow(cut, TILES.format(kind))
+    return _gather(_filter_tiles(tiles, p, psd), lambda i, out, _: iter([_image_row(i, out)]), SLICES.format(kind))
+
+
+def _multiscale_tiled(slices: DataFrame, p: k.Params, side: int, scales: int | None) -> DataFrame:
+    """Scale by scale, the coarsest first; between scales an image waits with the profile it has so far.  Images of fewer scales join in later."""
+    kind = _kind(slices)
+    real = np.float32 if kind == "float" else np.float64
+    top = 3 if scales is None else scales
+    psd = tp.anisotropic_psd(p.patch, p.psd_width)
+
+    def depth(a: np.ndarray) -> int:
+        return tp.number_of_scales(a.shape[1]) if scales is None else scales
+
+    def send(slice_id: pa.Array, a: np.ndarray, add: np.ndarray, s: int, sigma: float | None) -> Iterator[pa.RecordBatch]:
+        """An image that waits with its noise level, and the tiles of its scale ``s``."""
+        sigma = k.multiscale_sigma(a, p) if sigma is None else sigma
+        if s == depth(a):
+            add = np.zeros(k.level_image(a[:1], s).shape[1])
+        yield _rows(slice_id, -1, (*a.shape, 0, 0, 0, 0, 0, 0), [sigma] * 6, a, add)
+        if s <= depth(a):
+            r = k.prepare(a, "streak", p) if depth(a) == 0 else k.level_prepare(a, s, p, add)
+            if r is not None:
+                yield from _cut(slice_id, r, side)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, w = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                yield from send(batch.column(0).slice(i, 1), _numpy(batch.column(3), i).reshape(h, w).astype(np.float64), np.empty(0), top, None)
+
+    def nearer(s: int):
+        def step(slice_id: pa.Array, done: np.ndarray | None, waiting: tuple) -> Iterator[pa.RecordBatch]:
+            a, numbers, add = waiting
+            sigma = float(numbers[0])
+            if s > depth(a):
+                yield from send(slice_id, a, add, s - 1, sigma)
+            elif s:
+                yield from send(slice_id, a, k.level_profile(a, s, p, add, done, sigma), s - 1, sigma)
+            else:
+                yield _image_row(slice_id, (done if depth(a) == 0 else k.multiscale_finish(a, add, done, sigma)).astype(real))
+
+        return step
+
+    state = _slices(slices, []).mapInArrow(first, TILES.format("double"))
+    for s in range(top, -1, -1):
+        state = _gather(_filter_tiles(state, p, psd), nearer(s), TILES.format("double") if s else SLICES.format(kind))
+    return state
+
+
+def remove_streaks(slices: DataFrame, mode: str = "generic", params: k.Params | None = None, multiscale: bool = False, normalize: str = "slice", sigma_map: list | np.ndarray | str | None = None, side: int | None = None) -> DataFrame:
     """Ring and streak removal of a stack.
 
-    ``normalize='slice'`` filters each image on its own scale; ``'stack'`` shares the ends of all slices, passes the noise
-    level straight through and subtracts no normalisation of its own; the ends are one aggregate row."""
+    ``normalize='slice'`` filters each image on its own scale; ``'stack'`` shares the ends of all slices and passes the noise
+    level straight through; the ends are one aggregate row.  ``sigma_map`` is a profile or an image for all slices, or the name of a
+    column of ``slices`` with one for each.  With ``side`` None each slice is filtered where it lies, without a shuffle, which suits
+    stacks of more slices than tasks; else images are cut into tiles of about that side, which all tasks share."""
     p = (params or k.Params()).checked()
     if mode not in k.MODES or normalize not in ("slice", "stack"):
         raise ValueError("unknown mode or normalisation")
     if multiscale:
-        return map_slices(slices, lambda a: k.multiscale(a, p))
-    if normalize == "slice":
-        return map_slices(slices, lambda a: k.remove_rings(a, mode, p))
-    ends = slices.agg(F.min(F.array_min("values")).alias("_lo"), F.max(F.array_max("values")).alias("_hi"))
+        return map_slices(slices, lambda a: k.multiscale(a, p)) if side is None else _multiscale_tiled(slices, p, side, None)
+    by_slice = isinstance(sigma_map, str)
+    extra = ["_lo", "_hi"] * (normalize == "stack") + [sigma_map] * by_slice
+    if normalize == "stack":
+        ends = slices.agg(F.min(F.array_min("values")).cast("double").alias("_lo"), F.max(F.array_max("values")).cast("double").alias("_hi"))
+        slices = slices.join(F.broadcast(ends))  # one row
+    shared = None if sigma_map is None or by_slice else np.asarray(sigma_map, float)
+
+    def prepare(a: np.ndarray, *args) -> k.Prepared:
+        levels = np.asarray(args[-1], float) if by_slice else shared
+        if levels is not None and levels.ndim == 1 and levels.size == a.size and a.shape[0] > 1:
+            levels = levels.reshape(a.shape)
+        return k.prepare(a, mode, p, tuple(args[:2]) if normalize == "stack" else None, levels)
 
-    def run(a: np.ndarray, lo: float, hi: float) -> np.ndarray:
-        z = (a - lo) / (hi - lo) if hi > lo else a
-        streaky = mode in ("streak", "multiscale_streak")
-        psd = tp.anisotropic_psd(p.patch, p.psd_width) if streaky else None
-        levels = k.sigma_profile(z, p.map_smoothing, p.map_scale) if sigma_map is None else np.asarray(sigma_map)
-        z = z - k.streak_profile(z, p.streak_sigma, p.streak_iterations) if streaky else z
-        out = k.collaborative_filter(z, k.collaborative_filter(z, z, p, False, levels, psd), p, True, levels, psd)
-        return out * (hi - lo) + lo if hi > lo else out
+    def whole(a: np.ndarray, *args) -> np.ndarray:
+        r = prepare(a, *args)
+        return r.finish(r.z if r.flat else k.two_passes(r.z, r.params, r.levels, r.psd))
 
-    return map_slices(slices.join(F.broadcast(ends)), run, ["_lo", "_hi"])
+    if side is None:
+        return map_slices(slices, whole, extra)
+    return _tiled(slices, prepare, extra, p, tp.anisotropic_psd(p.patch, p.psd_width) if mode in ("streak", "multiscale_streak") else None, side)
 
 
 def filter_pass(slices: DataFrame, wiener: bool, params: k.Params | None = None, coloured: bool = True) -> DataFrame:
@@ -80,6 +243,7 @@ def fourier_svd(slices: DataFrame, fft_alpha: float = 1.0, notch_width: float =
 
 def noise_sigma(slices: DataFrame, robust: bool = False) -> DataFrame:
     """(slice_id, sigma) by either estimator."""
+    slices = slices.withColumn("values", F.col("values").cast("array<double>"))
     found = map_slices(slices, lambda a: np.array([[k.noise_sigma_robust(a) if robust else k.noise_sigma(a)]]))
     return found.select("slice_id", F.col("values")[0].alias("sigma"))
 
@@ -108,16 +272,17 @@ def process_volume(slices: DataFrame, mode: str, params: k.Params | None = None,
     if progress is None:
         return work(slices)
     spark = slices.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{base.rstrip('/')}/volume-{uuid.uuid4().hex}"
     ids = sorted(r[0] for r in slices.select("slice_id").distinct().toLocalIterator())  # ids of slices only
     spark.addTag(tag)
     try:
-        done, out = 0, None
         for a in range(0, len(ids), batch):
-            part = work(slices.filter(F.col("slice_id").isin(ids[a : a + batch]))).checkpoint()
-            out = part if out is None else out.unionByName(part)
-            done += len(ids[a : a + batch])
-            progress(done, len(ids))
-        return out if out is not None else work(slices)
+            work(slices.filter(F.col("slice_id").isin(ids[a : a + batch]))).write.mode("append").parquet(path)
+            progress(min(a + batch, len(ids)), len(ids))
+        return spark.read.schema(work(slices).schema).parquet(path) if ids else work(slices)
     finally:
         spark.removeTag(tag)
 

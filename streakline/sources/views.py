@@ -6,6 +6,11 @@ slice form one row-major array per image, the unit of the numeric kernels.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,56 +21,84 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image in row form: a row per vector, a column per component."""
+    return _read(spark, sf_dir, "embeddings").select(F.lit(0).alias("slice_id"), F.col("vec_id").cast("int").alias("row"), F.col("embedding").cast("array<double>").alias("values"))
+
+
 def embedding_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image: a row per vector, a column per component."""
-    src = _read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("col", "value"))
-    return src.select(F.lit(0).alias("slice_id"), F.col("vec_id").cast("int").alias("row"), "col", F.col("value").cast("double").alias("value"))
+    return from_rows(embedding_rows(spark, sf_dir))
 
 
 def _dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks of a dimension's few distinct values from 0 on; the dimension is small, the facts are not ranked."""
+    """Ranks from 0 on of the distinct values of an image's axis, which is no longer than a row of the image."""
     return df.select(column).distinct().select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias(name))
 
 
-def _dense_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells of the full grid of the distinct key values, 0 where there is no fact."""
-    grid = None
-    for k in keys:
-        side = cells.select(k).distinct()
-        grid = side if grid is None else grid.join(side)
-    return grid.join(cells, keys, "left").fillna(0.0, ["value"])
+def dense_rows(cells: DataFrame, slices: DataFrame) -> DataFrame:
+    """Rows (slice_id, row, values) of the full grid of the cells' rows and columns (numbered from 0) in every one of ``slices``; 0 where there is no cell.
+
+    Each row is packed once from its few cells, so the grid itself is never joined."""
+    width = cells.agg((F.max("col") + 1).alias("_w"))
+    places = slices.select("slice_id").distinct().join(cells.select("row").distinct())
+    packed = cells.groupBy("slice_id", "row").agg(F.collect_list("col").alias("_at"), F.collect_list("value").alias("_v"))
+    sparse = places.join(packed, ["slice_id", "row"], "left").join(F.broadcast(width))  # one row
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = batch.column(4)[0].as_py() if batch.num_rows else 0
+            at, held = batch.column(2), batch.column(3)
+            sizes = pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)
+            dense = np.zeros((batch.num_rows, w))
+            dense[np.repeat(np.arange(batch.num_rows), sizes), at.flatten().to_numpy(zero_copy_only=False)] = held.flatten().to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * w)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()))], names=["slice_id", "row", "values"])
 
+    work = sparse.select(F.col("slice_id").cast("int").alias("slice_id"), F.col("row").cast("int").alias("row"), F.col("_at").cast("array<int>").alias("_at"), F.col("_v").cast("array<double>").alias("_v"), F.col("_w").cast("int").alias("_w"))
+    return work.mapInArrow(fill, "slice_id int, row int, values array<double>")
 
-def _event_cells(spark: SparkSession, sf_dir: str, by_type: bool) -> DataFrame:
+
+def _event_rows(spark: SparkSession, sf_dir: str, by_type: bool) -> DataFrame:
     events = _read(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
     hour = F.floor((F.unix_timestamp("ts") - F.lit(1704067200)) / 3600).cast("int").alias("row")
-    users = _dense_ids(events, "user_id", "col")
     facts = events.select(hour, "user_id", "event_type", "value")
     keys = ["row", "user_id"] + ["event_type"] * by_type
-    cells = facts.groupBy(*keys).agg(F.sum("value").alias("value")).join(F.broadcast(users), "user_id")
+    cells = facts.groupBy(*keys).agg(F.sum("value").alias("value")).join(_dense_ids(events, "user_id", "col"), "user_id")
     if by_type:
-        cells = cells.join(F.broadcast(_dense_ids(events, "event_type", "slice_id")), "event_type")
-        return _dense_grid(cells.select(*PIXEL), ["slice_id", "row", "col"]).select(*PIXEL)
-    return _dense_grid(cells.select("row", "col", "value"), ["row", "col"]).select(F.lit(0).alias("slice_id"), "row", "col", "value")
+        types = _dense_ids(events, "event_type", "slice_id")
+        return dense_rows(cells.join(types, "event_type").select(*PIXEL), types)
+    return dense_rows(cells.select(F.lit(0).alias("slice_id"), "row", "col", "value"), spark.range(1).select(F.col("id").alias("slice_id")))
 
 
-def event_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours by users; sums of the events' values."""
-    return _event_cells(spark, sf_dir, False)
+    return _event_rows(spark, sf_dir, False)
+
+
+def event_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_rows(event_rows(spark, sf_dir))
+
+
+def event_stack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``event_rows``, a slice for each event type."""
+    return _event_rows(spark, sf_dir, True)
 
 
 def event_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``event_image``, a slice for each event type."""
-    return _event_cells(spark, sf_dir, True)
+    return from_rows(event_stack_rows(spark, sf_dir))
 
 
-def lineitem_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months since 1995-01 by suppliers; sums of extended prices."""
     items = _read(spark, sf_dir, "lineitem").select("l_shipdate", "l_suppkey", "l_extendedprice")
     month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("row")
     cells = items.groupBy(month, "l_suppkey").agg(F.sum("l_extendedprice").alias("value"))
-    cells = cells.join(F.broadcast(_dense_ids(items, "l_suppkey", "col")), "l_suppkey").select("row", "col", "value")
-    return _dense_grid(cells, ["row", "col"]).select(F.lit(0).alias("slice_id"), "row", "col", "value")
+    cells = cells.join(_dense_ids(items, "l_suppkey", "col"), "l_suppkey")
+    return dense_rows(cells.select(F.lit(0).alias("slice_id"), "row", "col", "value"), spark.range(1).select(F.col("id").alias("slice_id")))
+
+
+def lineitem_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_rows(lineitem_rows(spark, sf_dir))
 
 
 def to_rows(pixels: DataFrame) -> DataFrame:
@@ -88,13 +121,35 @@ def from_columns(columns: DataFrame) -> DataFrame:
     return columns.select("slice_id", "col", F.posexplode("values").alias("row", "value")).select(*PIXEL)
 
 
-def to_slices(pixels: DataFrame) -> DataFrame:
-    """(slice_id, height, width, values): dense row-major images; rows and columns are taken in order."""
-    rows = pixels.groupBy("slice_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("p"))
-    images = rows.groupBy("slice_id").agg(F.array_sort(F.collect_list(F.struct("row", F.col("p.value").alias("v")))).alias("r"))
+def rows_to_slices(rows: DataFrame) -> DataFrame:
+    """(slice_id, height, width, values): dense row-major images; rows are taken in order."""
+    images = rows.groupBy("slice_id").agg(F.array_sort(F.collect_list(F.struct("row", F.col("values").alias("v")))).alias("r"))
     return images.select("slice_id", F.size("r").alias("height"), F.size(F.col("r.v")[0]).alias("width"), F.flatten("r.v").alias("values"))
 
 
+def to_slices(pixels: DataFrame) -> DataFrame:
+    """Slices of pixels; rows and columns are taken in order."""
+    return rows_to_slices(to_rows(pixels))
+
+
+def map_rows(rows: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A function of a matrix, row by row, on the arrays of ``rows`` (its last column, values); arrays of one length go together.  A missing value counts as NaN."""
+    keys = [c for c in rows.columns if c != "values"]
+    src = rows.select(*keys, F.col("values").cast("array<double>").alias("values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes):
+                at = pa.array(np.flatnonzero(sizes == n))
+                out = fn(lists.take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)) if n else np.empty((len(at), 0))
+                offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * out.shape[1])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keys))], pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=batch.schema.names)
+
+    return src.mapInArrow(run, src.schema)
+
+
 def from_slices(slices: DataFrame) -> DataFrame:
     long = slices.select("slice_id", "width", F.posexplode("values").alias("at", "value"))
     return long.select("slice_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("row"), (F.col("at") % F.col("width")).cast("int").alias("col"), "value")

@@ -92,7 +92,9 @@ def test_phantom_and_sinogram(spark):
     p = image(sy.shepp_logan(spark, 64))
     assert p.min() == 0 and p.max() == 1
     s = image(sy.sinogram(sy.to_slices(spark, p), 30.0))
-    assert s.shape == (12, 64) and s.min() == 0 and s.max() == 1
+    assert s.shape == (12, 91) and abs(s.min() - sy.FLOOR) < 1e-12 and abs(s.max() - 1 - sy.FLOOR) < 1e-12
+    whole = sy.to_diagonal(p)
+    assert abs(whole.sum() - p.sum()) < 1e-9 and np.allclose(sy.rotate(whole, 0.0), whole) and abs(sy.rotate(whole, 37.0).sum() / p.sum() - 1) < 0.01
     g = image(sy.detector_gain(pixels(spark, p), error=0.01))
     assert g.shape == p.shape and np.isfinite(g).all()
     assert sy.synthetic_noise((32, 16)).shape == (32, 16)
@@ -107,6 +109,15 @@ def test_stack_modes_and_progress(spark):
     assert np.allclose(done[1]["values"], k.remove_rings(stack[1]).ravel())
     shared = dn.remove_streaks(s, "streak", normalize="stack").collect()
     assert len(shared) == 4 and all(np.isfinite(r["values"]).all() for r in shared)
+    for kw in ({"mode": "streak"}, {"mode": "fourier_svd", "normalize": "stack"}, {"multiscale": True}, {"mode": "streak", "sigma_map": np.full(32, 0.1)}, {"mode": "streak", "sigma_map": np.full((32, 32), 0.1)}):
+        whole, tiled = ({r.slice_id: r["values"] for r in dn.remove_streaks(s, side=side, **kw).collect()} for side in (None, 12))
+        assert whole.keys() == tiled.keys() and all(np.allclose(whole[i], tiled[i], atol=1e-9) for i in whole)
+    wide = sy.to_slices(spark, np.random.default_rng(1).random((2, 24, 90)))
+    whole, tiled = (np.array([r["values"] for r in dn.remove_streaks(wide, multiscale=True, params=dn.parameters("multiscale"), side=side).orderBy("slice_id").collect()]) for side in (None, 30))
+    assert np.allclose(whole, tiled, atol=1e-9)
+    maps = s.withColumn("levels", F.array_repeat(F.lit(0.05) * (F.col("slice_id") + 1), 32))
+    by_slice = {r.slice_id: r["values"] for r in dn.remove_streaks(maps, "streak", sigma_map="levels").collect()}
+    assert np.allclose(by_slice[2], dn.remove_streaks(s.filter("slice_id = 2"), "streak", sigma_map=[0.15] * 32).first()["values"])
     with pytest.raises(ValueError):
         dn.remove_streaks(s, "unknown")
     assert dn.noise_sigma(s).count() == 4
