@@ -431,26 +431,31 @@ def bin_columns(a: np.ndarray) -> np.ndarray:
     return a[:, ::2] + a[:, 1::2]
 
 
-def debin_matrix(width: int, iterations: int) -> np.ndarray:
-    """Matrix D with debinned row = binned row @ D: residuals projected back by Catmull-Rom interpolation, again and again."""
+def debin(binned: np.ndarray, width: int, iterations: int) -> np.ndarray:
+    """Rows of ``width`` whose bins are the given rows: residuals projected back by Catmull-Rom interpolation, again and again."""
     n = (width + 1) // 2
-    binning = bin_columns(np.eye(width))
+    binned = np.asarray(binned, float)
+    out = np.zeros((len(binned), width))
+    if n < 2:
+        return out
     centre = 1 + 2 * np.arange(n)
     norm = np.where(centre < width, 0.5, 0.0)  # the last bin of an odd width has no centre and gives nothing
     knots = centre + 0.5
     x = np.clip(np.arange(1, width + 1, dtype=float), knots[0], knots[-1])
-    i = np.minimum(np.searchsorted(knots, x, side="right") - 1, n - 2).clip(0) if n > 1 else np.zeros(width, int)
-    back = np.zeros((n, width))
-    if n > 1:
-        t = (x - knots[i]) / 2
-        parts = (-t + 2 * t**2 - t**3, 2 - 5 * t**2 + 3 * t**3, t + 4 * t**2 - 3 * t**3, -(t**2) + t**3)
-        for off, part in zip((-1, 0, 1, 2), parts, strict=True):
-            np.add.at(back, (np.clip(i + off, 0, n - 1), np.arange(width)), 0.5 * part)
-    step = norm[:, None] * back
-    total = np.zeros((n, width))
+    i = np.minimum(np.searchsorted(knots, x, side="right") - 1, n - 2).clip(0)
+    t = (x - knots[i]) / 2
+    parts = (-t + 2 * t**2 - t**3, 2 - 5 * t**2 + 3 * t**3, t + 4 * t**2 - 3 * t**3, -(t**2) + t**3)
+    at = [np.clip(i + off, 0, n - 1) for off in (-1, 0, 1, 2)]
     for _ in range(max(1, iterations)):
-        total += (np.eye(n) - total @ binning) @ step
-    return total
+        rest = (binned - bin_columns(out)) * norm
+        for place, part in zip(at, parts, strict=True):
+            out += rest[:, place] * (0.5 * part)
+    return out
+
+
+def debin_matrix(width: int, iterations: int) -> np.ndarray:
+    """Matrix D with debinned row = binned row @ D."""
+    return debin(np.eye((width + 1) // 2), width, iterations)
 
 
 def column_constant(diff: np.ndarray, sigma: float) -> np.ndarray:
@@ -506,7 +511,7 @@ def level_profile(a: np.ndarray, s: int, p: Params, add: np.ndarray, done: np.nd
             score = np.where(med**2 + var > 0, med**2 / (med**2 + var), 0.0)
         v = med * np.where(worst > 2 * sigma**2, 0.0, score) ** 8
         profile = v - running_median(v, 201)
-    return (profile / 2) @ debin_matrix(level_image(a[:1], s - 1).shape[1], p.debin_iterations)
+    return debin((profile / 2)[None], level_image(a[:1], s - 1).shape[1], p.debin_iterations)[0]
 
 
 def multiscale_finish(a: np.ndarray, add: np.ndarray, done: np.ndarray | None, sigma: float) -> np.ndarray:
