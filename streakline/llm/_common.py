@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,15 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where the session sets none (local tests), the warehouse's parent is not safe
-    to use, so a folder of the working machine is made and registered."""
+    Where neither is set, a session on this machine alone (``local[...]``, as in tests) gets a folder of the machine;
+    a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="streakline-"))
@@ -95,6 +99,31 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(start)
 
 
+#: What an operator keeps in a Python worker from task to task, under the operator's name.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """The state that ``owner`` keeps in this worker.
+
+    Workers are reused by whatever runs next, so the state of all others is let go: a worker holds one operator's state at a time."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+        tidy()
+    return _KEPT[owner]
+
+
+def tidy() -> None:
+    """Give memory that is no longer in use back to the machine, at the end of a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: T.StructType | str, text: str = "_text") -> DataFrame:
     """``mapInArrow`` of a per-slice function; slices are bounded in bytes of ``text``."""
 
@@ -104,11 +133,12 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dic
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
-def with_columns_arrow(df: DataFrame, text_col: str, fn: Callable[[list[bytes | None]], dict[str, pa.Array]], fields: list[tuple[str, str]]) -> DataFrame:
+def with_columns_arrow(df: DataFrame, text_col: str, fn: Callable[[list[bytes | None]], dict[str, pa.Array]], fields: list[tuple[str, str]], limit: int = SLICE_BYTES) -> DataFrame:
     """All columns of ``df`` plus those that ``fn`` makes of the texts.
 
     A column of the input that has the name of an output column is replaced,
@@ -121,10 +151,11 @@ def with_columns_arrow(df: DataFrame, text_col: str, fn: Callable[[list[bytes |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_src_text"):
+            for part in slices(batch, "_src_text", limit):
                 at = part.schema.get_field_index("_src_text")
                 made = fn(part.column(at).to_pylist())
                 arrays = [part.column(i) for i in range(part.num_columns) if i != at]
                 yield pa.RecordBatch.from_arrays(arrays + [made[n] for n, _ in fields], names=[part.schema.names[i] for i in range(part.num_columns) if i != at] + [n for n, _ in fields])
+        tidy()
 
     return src.mapInArrow(run, schema)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import _common as c
+
 _U = np.uint64
-#: Words whose hashes a worker keeps.
-MEMO_WORDS = 400_000
-_MEMO: dict[bytes, int] = {}
+#: Words (of 64 bytes at most) whose hashes a worker keeps.
+MEMO_WORDS = 200_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -21,11 +22,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    memo = _MEMO
+    memo = c.kept("words")
     if len(memo) > MEMO_WORDS:
         memo.clear()
     get, digest = memo.get, xxhash.xxh3_64_intdigest
-    out = [get(w) or memo.setdefault(w, digest(w) or 1) for w in words]
+    out = [get(w) or (memo.setdefault(w, digest(w) or 1) if len(w) <= 64 else digest(w) or 1) for w in words]
     return np.array(out, np.uint64)
 
 
@@ -58,15 +59,19 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     return p
 
 
-_POW = {}
+#: Powers of the base and of its inverse, up to the longest text so far that has no more words or bytes than this.
+KEPT_POWERS = 1 << 20
+_POW: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _POW:
-        inverse = _U(pow(int(_BASE), -1, 2**64))
-        _POW[size] = (powers(size), powers(size, inverse))
-    up, down = _POW[size]
+    if _POW and len(_POW[0][0]) >= n:
+        up, down = _POW[0]
+    else:
+        size = 1 << max(12, (n - 1).bit_length())
+        up, down = powers(size), powers(size, _U(pow(int(_BASE), -1, 2**64)))
+        if size <= KEPT_POWERS:
+            _POW[:] = [(up, down)]
     return up[:n], down[:n]
 
 

@@ -94,14 +94,12 @@ def normalise(text: bytes, cuts: bool) -> bytes:
     return b" ".join(text.split()) if cuts else text
 
 
-_LOADED: dict[str, Counter] = {}
-
-
 def _counter(path: str) -> Counter:
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = Counter(path)
-    return _LOADED[path]
+    state = c.kept("token_counts")
+    if path not in state:
+        state.clear()
+        state[path] = Counter(path)
+    return state[path]
 
 
 def digests(docs: DataFrame, vocabulary: str, cuts: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,6 +147,7 @@ def _encode_misses(misses: DataFrame, vocabulary: str) -> DataFrame:
                         texts.append(t.decode("utf-8", "replace"))
                 counts = _counter(tokenizer_path(vocabulary)).count(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+        c.tidy()
 
     return misses.mapInArrow(run, "digest binary, n_tokens long")
 

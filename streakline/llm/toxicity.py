@@ -46,9 +46,10 @@ class LevenshteinAutomaton:
 
     A state is the set of (trie node, edits, letter owed by a swap) that the letters so far can have reached: the
     intersection of the words' Levenshtein automata with the trie.  States and steps are made when first met and kept,
-    so a word costs one look-up per letter."""
+    so a word costs one look-up per letter.  When the states that are kept have more than ``ENTRIES`` entries (some 150 bytes
+    each) in all, they are made anew as needed: that bounds memory and changes no answer."""
 
-    STATES = 100_000
+    ENTRIES = 200_000
 
     def __init__(self, root: dict, k: int):
         self.k, self.letters = k, set()
@@ -58,11 +59,11 @@ class LevenshteinAutomaton:
                 if len(ch) == 1 and ch not in "*$":
                     self.letters.add(ch)
                     stack.append(child)
-        self.nodes = {id(root): root}
         self._start(root)
 
     def _start(self, root: dict) -> None:
-        self.root, self.sets, self.steps, self.final, self.ids = root, [], [], [], {}
+        self.root, self.sets, self.steps, self.final, self.ids, self.entries = root, [], [], [], {}, 0
+        self.nodes = {id(root): root}
         self._state(self._closed({(id(root), ""): 0}))
 
     def _closed(self, best: dict[tuple[int, str], int]) -> frozenset:
@@ -84,6 +85,7 @@ class LevenshteinAutomaton:
         if at is None:
             at = self.ids[found] = len(self.sets)
             self.sets.append(found)
+            self.entries += len(found) + 1
             self.steps.append({})
             self.final.append(any(not owed and "$" in self.nodes[n] for n, owed, _ in found))
         return at
@@ -112,7 +114,7 @@ class LevenshteinAutomaton:
         return self._state(self._closed(best))
 
     def accepts(self, word: str) -> bool:
-        if len(self.sets) > self.STATES:
+        if self.entries > self.ENTRIES:
             self._start(self.root)
         state, steps, sets = 0, self.steps, self.sets
         for ch in word:
@@ -150,7 +152,7 @@ class LexiconTrie:
         kind = self.known.get(word)
         if kind is None:
             kind = self._match(word)
-            if len(self.known) > 200_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[word] = kind
         return kind
@@ -200,6 +202,15 @@ def _marks(part: str) -> int:
     return n
 
 
+def _trie(terms: list[str]) -> LexiconTrie:
+    """The lexicon's trie, made once in a worker."""
+    state, key = c.kept("toxicity"), xxhash.xxh3_128_hexdigest("\n".join(terms))
+    if key not in state:
+        state.clear()
+        state[key] = LexiconTrie(terms)
+    return state[key]
+
+
 class Model:
     """Lexicon, weights of the features (the last is the intercept)."""
 
@@ -207,7 +218,7 @@ class Model:
         self.terms, self.weights = terms, weights
 
     def scorer(self):
-        trie, w = LexiconTrie(self.terms), self.weights
+        trie, w = _trie(self.terms), self.weights
 
         def score(text: str) -> float:
             z = w[-1] + sum(a * b for a, b in zip(w, features(text, trie), strict=False))
@@ -231,7 +242,7 @@ def _term_counts(rows: DataFrame, among: frozenset[str] | None = None) -> DataFr
     memo: dict[str, tuple[str, ...]] = {}
 
     def among_terms(found: set[str], counts: Counter) -> None:
-        if len(memo) > 300_000:
+        if len(memo) > 100_000:
             memo.clear()
         held = set()
         for w in found:
@@ -269,24 +280,31 @@ def _contexts(rows: DataFrame, terms: frozenset[str]) -> DataFrame:
     return c.map_arrow(rows, run, "term string, context long").distinct().groupBy("term").agg(F.count("*").alias("n"))
 
 
-def lexicon(train: DataFrame, share: float = 0.01, least: int = 3, lift: float = 25.0, max_terms: int = 50_000) -> tuple[list[str], int, int]:
+def lexicon(train: DataFrame, share: float = 0.01, least: int = 3, lift: float = 25.0, broadcast_terms: int = 200_000) -> tuple[list[str], int, int]:
     """Terms in at least ``share`` of the toxic rows that are ``lift`` times as frequent there as in the others, beyond chance (at 0.05 over all candidates).
 
     ``train``: (toxic int, _text binary), each text once.  A term must stand in contexts enough to be beyond chance by them
-    alone, however many rows hold it, so near copies teach nothing and take nothing away.  A term needs a share of the toxic rows, so there are at most their distinct
-    words / share of candidates; beyond ``max_terms`` the share is raised.  Of stems and words that begin alike the shortest stays."""
+    alone, however many rows hold it, so near copies teach nothing and take nothing away.  All candidates are counted and tested, in
+    Spark; up to ``broadcast_terms`` of them are sent to the tasks, so that these count no other terms, and more are met by a join.
+    The driver gets terms that pass.  Of stems and words that begin alike the shortest stays."""
     sizes = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
         return [], 0, n_clean
     counts = c.checkpoint(_term_counts(train.filter("toxic = 1")))
     floor = max(least, math.ceil(share * n_toxic))
-    while (candidates := counts.filter(F.col("n") >= floor)).count() > max_terms:
-        floor *= 2
-    among = {r["term"]: r["n"] for r in candidates.toLocalIterator()}
-    clean = {r["term"]: r["n"] for r in _term_counts(train.filter("toxic = 0"), frozenset(among)).toLocalIterator()}
-    chance, base = 0.05 / len(among) if among else 1, n_toxic / (n_toxic + n_clean)
-    good = {t for t, n in among.items() if n / n_toxic >= lift * (clean.get(t, 0) + 0.1) / (n_clean + 1) and _tail(n, n + clean.get(t, 0), base) < chance}
+    candidates = counts.filter(F.col("n") >= floor).select("term", "n")
+    n_candidates = candidates.count()
+    sent = frozenset(r["term"] for r in candidates.select("term").toLocalIterator()) if n_candidates <= broadcast_terms else None
+    clean_counts = _term_counts(train.filter("toxic = 0"), sent).select("term", F.col("n").alias("n_in_clean"))
+    both = candidates.join(clean_counts, "term", "left").select("term", "n", F.coalesce("n_in_clean", F.lit(0)).alias("n_in_clean"))
+    lifted = both.filter(F.col("n") / n_toxic >= lift * (F.col("n_in_clean") + 0.1) / (n_clean + 1))
+    chance, base = 0.05 / max(1, n_candidates), n_toxic / (n_toxic + n_clean)
+    among, clean = {}, {}
+    for r in lifted.toLocalIterator():
+        if _tail(r["n"], r["n"] + r["n_in_clean"], base) < chance:
+            among[r["term"]], clean[r["term"]] = r["n"], r["n_in_clean"]
+    good = set(among)
     contexts = {r["term"]: r["n"] for r in _contexts(train.filter("toxic = 1"), frozenset(good)).toLocalIterator()} if good else {}
     good = {t for t in good if (d := contexts.get(t, 0)) >= least and _tail(d, d + clean.get(t, 0), base) < chance}
     kept, words_too = set(), set()
@@ -341,12 +359,9 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if not n_toxic:
         return Model([], [0.0] * FEATURES + [-3.0])
 
-    loaded: list[LexiconTrie] = []
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        if not loaded:
-            loaded.append(LexiconTrie(terms))
-        trie = loaded[0]
+        trie = _trie(terms)
         made = [features(t.decode("utf-8", "replace"), trie) for t in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f[k] for f in made], pa.float64()) for k in range(FEATURES))], names=["toxic", *(f"f{k}" for k in range(FEATURES))])
 
@@ -362,10 +377,8 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     Null texts score as empty ones; the score depends on the text alone, so repeated rows get equal scores; input
     columns with these names are replaced."""
-    loaded = {}
-
     def run(texts: list[bytes | None]) -> dict[str, pa.Array]:
-        score = loaded.get(0) or loaded.setdefault(0, model.scorer())
+        score = model.scorer()
         found = [score((t or b"").decode("utf-8", "replace")) for t in texts]
         return {"score": pa.array(found, pa.float64()), "predicted": pa.array([int(s >= 0.5) for s in found], pa.int32())}
 
