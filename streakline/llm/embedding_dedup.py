@@ -4,7 +4,9 @@ A vector is padded to a power of two, turned by three rounds of random signs and
 Walsh-Hadamard transforms, and hashed to the nearest signed axis; ``n_hashes``
 such hashes make a bucket code in each of ``n_tables`` tables.  A vector stands in
 its own bucket and in ``n_probes`` next-best ones.  Pairs that share a bucket, of
-at least one's own, are verified by the cosine in double precision.
+at least one's own, are verified by the cosine in double precision.  Hashes are as
+many as make chance meetings rare, and tables as many as keep the recall, so that
+codes alone tell which vectors have to meet and only those are fetched.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from ._components import connected_components
 
 #: Rows of a bucket that one task compares at once; larger buckets are dealt to blocks of pairs of chunks.
 BLOCK_ROWS = 2048
-TARGET_BUCKET = 64
+#: Vectors that a bucket of the largest label holds by chance.
+TARGET_BUCKET = 0.125
+#: Recall for pairs at the threshold that the number of tables is chosen for, on so many simulated pairs.
+RECALL, PAIRS = 0.985, 300
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -40,7 +45,7 @@ def rotation_signs(seed: int, table: int, k: int, width: int) -> np.ndarray:
     return np.random.default_rng((seed, table, k, width)).choice((-1.0, 1.0), (3, width))
 
 
-def codes(x: np.ndarray, n_tables: int, n_hashes: int, n_probes: int, seed: int) -> np.ndarray:
+def codes(x: np.ndarray, n_tables: int, n_hashes: int, n_probes: int, seed: int, first: int = 0) -> np.ndarray:
     """(rows, tables, 1 + probes) int64 bucket codes: one's own first, then the next best by the loss in the rotated coordinates."""
     n, d = x.shape
     width = max(2, 1 << (d - 1).bit_length())
@@ -52,13 +57,13 @@ def codes(x: np.ndarray, n_tables: int, n_hashes: int, n_probes: int, seed: int)
         losses, swaps = [], []
         for k in range(n_hashes):
             y = padded
-            for signs in rotation_signs(seed, t, k, width):
+            for signs in rotation_signs(seed, first + t, k, width):
                 y = hadamard(y * signs)
             size = np.abs(y)
             top = np.argpartition(-size, min(n_probes, width - 1), axis=1)[:, : n_probes + 1]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, 1), axis=1, kind="stable"), 1)
             axis = top + width * (np.take_along_axis(y, top, 1) < 0)
-            scale = (2 * width) ** k
+            scale = np.int64(pow(2 * width, k, 1 << 63))
             own += axis[:, 0] * scale
             best = np.take_along_axis(size, top, 1)
             for j in range(1, top.shape[1]):
@@ -71,6 +76,33 @@ def codes(x: np.ndarray, n_tables: int, n_hashes: int, n_probes: int, seed: int)
     return out
 
 
+def tables_for(width: int, n_hashes: int, n_probes: int, threshold: float, seed: int, least: int = 5, most: int = 40) -> int:
+    """Tables in which random pairs of vectors at the threshold's cosine meet with the recall that is asked for."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(2, PAIRS, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= a * np.einsum("ij,ij->i", a, b)[:, None]
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    met = np.zeros(PAIRS, bool)
+    for t in range(most):
+        x, y = (codes(v, 1, n_hashes, n_probes, seed, t)[:, 0] for v in (a, b))
+        met |= (x[:, :1] == y).any(1) | (y[:, :1] == x).any(1)
+        if t + 1 >= least and met.mean() >= RECALL:
+            return t + 1
+    return most
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A vector as bytes: single precision where that says the same, else double; the first byte tells which."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return b"s" + single.tobytes() if np.array_equal(single.astype(np.float64), x) else b"d" + x.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if raw[:1] == b"s" else np.float64, offset=1).astype(np.float64)
+
+
 def linked(x: np.ndarray, ids: np.ndarray, code: np.ndarray, own: np.ndarray, part: np.ndarray, split: bool, table: int, bucket: int, threshold: float):
     """Index pairs (i, j) of a block's rows with cosine >= threshold that this bucket is the first to hold.
 
@@ -118,7 +150,7 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> D
 
     def run(batches):
         for batch in batches:
-            digests, packed = [], []
+            digests, held = [], []
             for v, label, key in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
                 raw = None
                 if v is not None and label is not None and key is not None and len(v) and None not in v:
@@ -126,10 +158,10 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> D
                     if np.isfinite(x).all():
                         top = np.abs(x).max()
                         if top > 0:
-                            raw = (x if 1e-100 < top < 1e100 else x / top).tobytes()
-                packed.append(raw)
+                            raw = packed(x if 1e-100 < top < 1e100 else x / top)
+                held.append(raw)
                 digests.append(raw and hashlib.blake2b(raw, digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["_id", "_label", "digest", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(held, pa.binary())], names=["_id", "_label", "digest", "vec"])
 
     src = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(vec_col).alias("_vec"))
     return src.mapInArrow(run, "_id long, _label string, digest binary, vec binary")
@@ -141,7 +173,7 @@ def near_duplicates(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     label_col: str = "label",
-    n_tables: int = 5,
+    n_tables: int | None = None,
     n_hashes: int | None = None,
     n_probes: int = 1,
     seed: int = 7,
@@ -152,49 +184,50 @@ def near_duplicates(
     Rows with a null id or label, and vectors that are null, empty, zero or hold null or
     non-finite components, link with nothing; so do vectors of different length.  Copies of a vector
     are one class with a count, linked with each other.  Rows that repeat an id are vectors of
-    their own.  Other columns are not read.  ``n_hashes`` follows the number of vectors
-    (buckets of about 64 at random) unless given."""
+    their own.  Other columns are not read; an empty table gives an empty result.  ``n_hashes`` follows the number and width of
+    the vectors (chance meetings are rare), and ``n_tables`` the recall (``RECALL`` at the threshold), unless given."""
     spark = vectors.sparkSession
     rows = _classes(vectors, id_col, vec_col, label_col)
     keyed = rows.filter("digest IS NOT NULL")
-    classes = c.stored(keyed.groupBy("_label", "digest").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec")).withColumn("uid", F.xxhash64("_label", "digest")), "vector-classes")
+    unique = keyed.groupBy("_label", "digest").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec"))
+    classes = c.stored(unique.withColumn("width", F.floor((F.octet_length("vec") - 1) / F.when(F.expr("substring(vec, 1, 1) = X'73'"), 4).otherwise(8)).cast("int")), "vector-classes")
+    # the largest label and the widest vector set how fine buckets have to be, and how many tables
+    top, width = classes.groupBy("_label").agg(F.count("*").alias("n"), F.max("width").alias("w")).agg(F.max("n"), F.max("w")).first()
     if n_hashes is None:
-        # the largest label's size sets how fine buckets have to be
-        top = classes.groupBy("_label").count().agg(F.max("count")).first()[0] or 1
-        n_hashes = max(1, min(4, math.ceil(math.log(max(1.0, top / TARGET_BUCKET)) / math.log(128))))
+        axes = 2 * max(2, 1 << ((width or 1) - 1).bit_length())
+        n_hashes = max(1, min(6, math.ceil(math.log(max(1.0, (top or 1) / TARGET_BUCKET)) / math.log(axes))))
+    if n_tables is None:
+        n_tables = tables_for(width or 1, n_hashes, n_probes, threshold, seed)
+    each = 1 + n_probes
 
     def hash_rows(batches):
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
             raw = col["vec"].to_pylist()
-            sizes = np.array([len(v) for v in raw])
+            sizes = np.asarray(col["width"])
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                x = np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), -1)
+                x = np.stack([unpacked(raw[i]) for i in at])
                 made = codes(x / np.abs(x).max(1, keepdims=True), n_tables, n_hashes, n_probes, seed)
-                each = n_tables * (1 + n_probes)
-                pick = pa.array(np.repeat(at, each))
-                packed = pa.array([m.tobytes() for m in made], pa.binary())
-                take = lambda a: a.take(pick)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        take(col["_label"]), pa.array(np.full(len(pick), size // 8, np.int32)), pa.array(np.tile(np.repeat(np.arange(n_tables, dtype=np.int32), 1 + n_probes), len(at))),
-                        pa.array(made.reshape(-1)), pa.array(np.tile(np.arange(1 + n_probes) == 0, n_tables * len(at))), take(col["uid"]), take(col["rep"]), take(col["copies"]), take(col["vec"]),
-                        packed.take(pa.array(np.repeat(np.arange(len(at)), each))),
-                    ],
-                    names=["_label", "width", "tab", "bucket", "own", "uid", "rep", "copies", "vec", "codes"],
-                )
+                pick = pa.array(at)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (n_tables * each)), pa.array(made.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(col[k].take(pick) for k in ("_label", "digest", "width")), lists], names=["_label", "digest", "width", "codes"])
+        c.tidy()
 
     key = ["_label", "width", "tab", "bucket"]
-    schema = "_label string, width int, tab int, bucket long, own boolean, uid long, rep long, copies long, vec binary, codes binary"
-    placed = classes.select("_label", "uid", "rep", "copies", "vec").mapInArrow(hash_rows, schema)
+    coded = classes.select("_label", "digest", "width", "vec").mapInArrow(hash_rows, "_label string, digest binary, width int, codes array<long>")
+    coded = c.stored(coded, "vector-codes")
+    at = F.posexplode("codes").alias("at", "bucket")
+    placed = coded.select("_label", "width", "digest", at).select("_label", "width", F.floor(F.col("at") / each).cast("int").alias("tab"), "bucket", (F.col("at") % each == 0).alias("own"), "digest")
     # sizes of buckets; those of one row have no pair, those over a block are dealt to blocks of pairs of chunks
     sizes = placed.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("own").alias("n_own")).filter("n > 1 AND n_own > 0")
     sizes = sizes.select(*key, F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("uid", F.lit(11)), F.col("chunks").cast("long")).cast("int")
-    dealt = placed.join(sizes, key).withColumn("part", chunk)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other", "chunks")
+    chunk = F.pmod(F.xxhash64("digest", F.lit(11)), F.col("chunks").cast("long")).cast("int")
+    meet = placed.join(sizes, key).withColumn("part", chunk)
+    # only vectors that meet others are fetched, with their codes
+    whole = classes.select("_label", "digest", "rep", "copies", "vec").join(coded.select("_label", "digest", "codes"), ["_label", "digest"])
+    dealt = meet.join(whole, ["_label", "digest"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).select(*key, "lo", "hi", "part", "own", "rep", "copies", "vec", "codes")
     n_parts = c.shuffle_partitions(spark)
     blocks = dealt.repartition(n_parts, *key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi")
 
@@ -210,8 +243,8 @@ def near_duplicates(
                 return None
             t = pa.Table.from_batches(pending).combine_chunks()
             get = lambda n: t.column(n).to_numpy(zero_copy_only=False)
-            x = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(t.num_rows, -1)
-            code = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int64).reshape(t.num_rows, n_tables, -1)
+            x = np.stack([unpacked(v) for v in t.column("vec").to_pylist()])
+            code = np.array(t.column("codes").to_pylist(), np.int64).reshape(t.num_rows, n_tables, -1)
             ids, copies = get("rep"), get("copies")
             i, j = linked(x, ids, code, get("own").astype(bool), get("part"), current[4] != current[5], current[2], current[3], threshold)
             if not len(i):
