@@ -3,8 +3,9 @@
 The DOMs of a host are merged: nodes with the same path of tags, classes and ids are
 one node of the style tree.  A node's presentation importance is the entropy of its
 child sequences over the host's pages, a content node's that of its texts, both to
-base m for m pages.  A branch's importance is the largest in it; branches whose
-importance is low are removed from each page.  Branches whose tag or name states
+base m for m pages, and both drawn to 1 by ``PRIOR_PAGES`` pages that nobody has seen:
+few pages say little, many pages say what they say.  A branch's importance is the
+largest in it; branches whose importance is low are removed from each page.  Branches whose tag or name states
 their role have a fixed importance: 1 for the article's own node, 0 for menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments.  A name states
 a role only as a whole (``cookie-notice``, not ``with-sidebar``), and does not hold
@@ -23,15 +24,17 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: Branches below this importance go, on hosts of so many pages that have the node.
-LOW, MIN_PAGES = 0.3, 5
-#: Rows of the style trees (about 100 bytes each) up to which they are broadcast; larger ones are joined by host.
+#: Branches below this importance go; unseen pages, each different, that every node's importance reckons with.
+LOW, PRIOR_PAGES = 0.3, 1.0
+#: Low nodes of all hosts (about 100 bytes each) up to which they are broadcast; more are joined by host and node.
 BROADCAST_STYLES = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("head script style noscript template iframe object svg canvas math audio video title".split())
 CHROME = frozenset("nav header footer aside form button select option textarea input label fieldset dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose own text is prose.
+PROSE = frozenset("article blockquote dd h1 h2 h3 h4 h5 h6 li main p pre td".split())
 #: A start tag of the left closes an open one of the right, up to a tag that scopes it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("html body article section main div ul ol dl table nav header footer aside form blockquote td th".split())
@@ -50,12 +53,14 @@ _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
+    """``path`` is a hash of the names from the root on, so that deep pages cost no more for it."""
+
     __slots__ = ("tag", "name", "parent", "children", "role", "path")
 
     def __init__(self, tag: str, name: str, parent: Node | None, role: int):
         self.tag, self.name, self.parent, self.role = tag, name, parent, role
         self.children: list[Node | str] = []
-        self.path = f"{parent.path}/{name}" if parent else name
+        self.path = path_key(parent.path, name) if parent else 0
 
 
 def role_words(attrs: dict[str, str | None]) -> list[str]:
@@ -79,6 +84,13 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", "", None, 0)
+        self.open: dict[str, int] = {}  # open elements by tag, so that an end tag without a start is known at once
+
+    def _up_to(self, node: Node) -> None:
+        """Close all open elements up to and with ``node``."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
@@ -97,33 +109,38 @@ class TreeBuilder(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag and tag in ("svg", "path"):
-            self.at = self.at.parent
+            self._up_to(self.at)
 
     def handle_endtag(self, tag):
+        if not self.open.get(tag):
+            return
         node = self.at
         while node.parent and node.tag != tag:
             if node.tag in SCOPES and tag not in SCOPES:
                 return  # a stray end tag closes nothing outside its scope
             node = node.parent
         if node.parent:
-            self.at = node.parent
+            self._up_to(node)
 
     def handle_data(self, data):
         self.at.children.append(data)
 
     def _close(self, tags):
+        if not any(self.open.get(t) for t in tags):
+            return
         node = self.at
         while node.parent and node.tag not in SCOPES:
             if node.tag in tags:
-                self.at = node.parent
+                self._up_to(node)
                 return
             node = node.parent
         if node.parent and node.tag in tags:  # td and th scope what is in them, and close each other
-            self.at = node.parent
+            self._up_to(node)
 
 
 def parse(html: str) -> Node:
@@ -162,63 +179,68 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-_KEYS: dict[str, int] = {}
-
-
-def path_key(path: str) -> int:
-    key = _KEYS.get(path)
+def path_key(above: int, name: str) -> int:
+    memo = c.kept("html")
+    key = memo.get((above, name))
     if key is None:
-        if len(_KEYS) > 50_000:
-            _KEYS.clear()
-        key = _KEYS[path] = _digest(path)
+        if len(memo) > 50_000:
+            memo.clear()
+        key = memo[above, name] = _digest(f"{above}/{name}")
     return key
 
 
-def extract(html: str, style: dict[int, tuple[int, float]], low: float = LOW, min_pages: int = MIN_PAGES) -> str:
-    """The page's main text; ``style``: path key to (pages, importance of the node itself)."""
+def extract(html: str, low_nodes: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's main text; ``low_nodes``: path keys of the host's nodes whose own importance is low."""
     root = parse(html)
     nodes = list(walk(root))
-    own = {id(n): style.get(path_key(n.path), (0, 1.0)) for n in nodes}
+    gone = _dropped(nodes, frozenset())
     kind = "article" if any(n.tag == "article" and n.role < 3 for n in nodes) else "main"
-    wrapped = not any(n.tag == kind and not _dropped(n, root) for n in nodes)  # else those within other parts are teasers
-    best, holds = {}, set()  # holds: nodes with an article or main element in their branch
+    wrapped = not any(n.tag == kind and id(n) not in gone for n in nodes)  # else those within other parts are teasers
+    low, holds, prose = set(), set(), {}  # holds: nodes with an article or main element in their branch; low: whole branches
     for n in reversed(nodes):  # children come after their parents
-        pages, value = own[id(n)]
-        best[id(n)] = max([value if pages >= min_pages else 1.0, *(best[id(x)] for x in n.children if isinstance(x, Node))])
-        if n.role and n.role < 3 and ((wrapped and id(n) in holds) or (n.role == 1 and best[id(n)] >= low)):
+        within = [x for x in n.children if isinstance(x, Node)]
+        if n.path in low_nodes and all(id(x) in low for x in within):
+            low.add(id(n))
+        own = sum(len(x.strip()) for x in n.children if isinstance(x, str)) if n.tag in PROSE else 0
+        prose[id(n)] = 0 if n.tag in NO_TEXT or id(n) in low else own + sum(prose[id(x)] for x in within)
+        if n.role and n.role < 3 and ((wrapped and id(n) in holds) or (n.role == 1 and id(n) not in low)):
             n.role = 0
         if not n.role and (n.tag in ("article", "main") or id(n) in holds):
             holds.add(id(n.parent))
-    articles = [n for n in nodes if n.tag == "article" and not _dropped(n, root)]
-    mains = [n for n in nodes if n.tag == "main" and not _dropped(n, root)]
+    # a form around the page's article, or without one around most of its paragraphs, is only the page's frame
+    frames = frozenset(id(n) for n in nodes if n.tag in ("form", "fieldset") and (wrapped and id(n) in holds or not holds and 2 * prose[id(n)] > prose[id(root)]))
+    gone = _dropped(nodes, frames)
+    articles = [n for n in nodes if n.tag == "article" and id(n) not in gone]
+    mains = [n for n in nodes if n.tag == "main" and id(n) not in gone]
     tops = articles or mains
     parts: list[str] = []
-    for top in _outermost(tops) if tops else [root]:
-        _collect(top, parts, best, low, bool(tops))
+    for top in _outermost(nodes, tops) if tops else [root]:
+        _collect(top, parts, low, bool(tops), frames)
         parts.append(" ")
     return " ".join("".join(parts).split())
 
 
-def _dropped(node: Node, root: Node) -> bool:
-    while node is not None and node is not root:
-        if node.role or node.tag in NO_TEXT or node.tag in CHROME:
-            return True
-        node = node.parent
-    return False
+def _dropped(nodes: list[Node], frames: frozenset[int]) -> set[int]:
+    """Nodes in branches that are no part of the main text, by tag or role; parents come before their children."""
+    gone: set[int] = set()
+    for n in nodes:
+        if n.parent and (id(n.parent) in gone or n.role or n.tag in NO_TEXT or (n.tag in CHROME and id(n) not in frames)):
+            gone.add(id(n))
+    return gone
 
 
-def _outermost(nodes: list[Node]) -> list[Node]:
-    inside, out = {id(n) for n in nodes}, []
+def _outermost(nodes: list[Node], some: list[Node]) -> list[Node]:
+    chosen, inside, out = {id(n) for n in some}, set(), []
     for n in nodes:
-        p = n.parent
-        while p is not None and id(p) not in inside:
-            p = p.parent
-        if p is None:
+        if n.parent and id(n.parent) in inside:
+            inside.add(id(n))
+        elif id(n) in chosen:
+            inside.add(id(n))
             out.append(n)
     return out
 
 
-def _collect(top: Node, parts: list[str], best: dict[int, float], low: float, article: bool) -> None:
+def _collect(top: Node, parts: list[str], low: set[int], article: bool, frames: frozenset[int]) -> None:
     """Text of the branch in page order, with a space at each border of a block.
 
     Branches of low importance go, but within an article not an inline one that is part of a sentence."""
@@ -228,10 +250,10 @@ def _collect(top: Node, parts: list[str], best: dict[int, float], low: float, ar
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x is not top and (x.role or x.tag in NO_TEXT or (x.tag in CHROME and not (x.tag == "header" and article))):
+        if x is not top and (x.role or x.tag in NO_TEXT or (x.tag in CHROME and id(x) not in frames and not (x.tag == "header" and article))):
             parts.append(" ")
             continue
-        if x is not top and x.tag not in ("html", "body") and best[id(x)] < low and not (article and _in_sentence(x)):
+        if x is not top and x.tag not in ("html", "body") and id(x) in low and not (article and _in_sentence(x)):
             parts.append(" ")
             continue
         if x.tag in BLOCKS:
@@ -245,13 +267,13 @@ def _in_sentence(node: Node) -> bool:
 
 
 def style_tree(pages: DataFrame, host: str = "_host", html: str = "_html") -> DataFrame:
-    """(host, path, pages, importance) of the merged trees: the larger of presentation and content entropy to base pages (1 for a single page)."""
+    """(host, path, pages, importance) of the merged trees: the larger of presentation and content entropy to base pages, drawn to 1 by the unseen pages."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         n: dict[tuple, int] = {}
         for h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             for path, kind, sig in style_rows((text or b"").decode("utf-8", "replace")):
-                k = (h, path_key(path), kind, sig)
+                k = (h, path, kind, sig)
                 n[k] = n.get(k, 0) + 1
         cols = list(zip(*n, strict=True)) or [(), (), (), ()]
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
@@ -261,43 +283,63 @@ def style_tree(pages: DataFrame, host: str = "_host", html: str = "_html") -> Da
     counts = rows.groupBy("host", "path", "kind", "sig").agg(F.sum("n").alias("n"))
     m, nlogn = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     nodes = counts.groupBy("host", "path", "kind").agg(m.alias("pages"), F.when(m > 1, (F.log(m) - nlogn / m) / F.log(m)).otherwise(1.0).alias("entropy"))
-    return nodes.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("entropy").alias("importance"))
+    seen = (F.col("pages") * F.col("entropy") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
+    return nodes.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(seen).alias("importance"))
+
 
+def low_lists(pages: DataFrame, low_nodes: DataFrame) -> DataFrame:
+    """(_host, _page, _low): for each distinct page (_host, _html) the keys of its low nodes, met by a join on host and node, so that no task holds a host's tree."""
 
-def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", low: float = LOW, min_pages: int = MIN_PAGES, broadcast_styles: int = BROADCAST_STYLES) -> DataFrame:
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        hosts, keys, paths = [], [], []
+        for h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            found = {n.path for n in walk(parse((text or b"").decode("utf-8", "replace")))}
+            paths += found
+            hosts += [h] * len(found)
+            keys += [hashlib.md5(text or b"").digest()] * len(found)
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), pa.array(paths, pa.int64())], names=["_host", "_page", "path"])
+
+    nodes = c.map_arrow(pages.select("_host", "_html"), run, "_host string, _page binary, path long", "_html")
+    return nodes.join(low_nodes.withColumnRenamed("host", "_host"), ["_host", "path"]).groupBy("_host", "_page").agg(F.collect_set("path").alias("_low"))
+
+
+def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", low: float = LOW, broadcast_styles: int = BROADCAST_STYLES) -> DataFrame:
     """All columns of ``pages`` plus text (empty if there is none) and n_chars (code points).
 
     Null pages have no text; a null url, or one without a host, counts as a host of its own name (empty); repeated rows
-    count each; input columns named text or n_chars are replaced.  Character references are decoded; white space is one space."""
+    have a row each, but count once in the style tree; an empty table gives an empty result; input columns named text or
+    n_chars are replaced.  Pages are read whole, however long or deeply nested.  Character references are decoded; white space is one space."""
+    from pyspark.sql import types as T
+
+    spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
     bytes_ = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     # copies of a page count once, or a large group of them would make its own text look like the site's frame
-    tree = c.stored(style_tree(pages.select(host.alias("_host"), bytes_.alias("_html")).distinct()).filter(F.col("pages") >= min_pages), "style-tree")
-    # only low nodes and the nodes above or below them matter, but a branch needs all its nodes: one list for each host
-    lists = tree.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "importance")).alias("_style"))
-    small = tree.count() <= broadcast_styles
+    distinct = pages.select(host.alias("_host"), bytes_.alias("_html")).distinct()
+    low_nodes = c.stored(style_tree(distinct).filter(F.col("importance") < low).select("host", "path"), "style-tree")
     keep = [x for x in pages.columns if x not in ("text", "n_chars")]
     src = pages.select(*[F.col(f"`{x}`") for x in keep], host.alias("_host"), bytes_.alias("_html"))
-    src = src.join((F.broadcast(lists) if small else lists).withColumnRenamed("host", "_host"), "_host", "left").select(*[F.col(f"`{x}`") for x in keep], "_host", "_html", "_style")
-    from pyspark.sql import types as T
-
+    sent = None
+    if low_nodes.count() <= broadcast_styles:
+        by_host: dict[str, set[int]] = {}
+        for r in low_nodes.toLocalIterator():
+            by_host.setdefault(r["host"], set()).add(r["path"])
+        sent = spark.sparkContext.broadcast(by_host)
+        src = src.withColumn("_low", F.lit(None).cast("array<long>"))
+    else:
+        page = F.unhex(F.md5("_html"))
+        src = src.withColumn("_page", page).join(c.stored(low_lists(distinct, low_nodes), "low-nodes"), ["_host", "_page"], "left").select(*[F.col(f"`{x}`") for x in keep], "_host", "_html", "_low")
     schema = T.StructType([src.schema[x] for x in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     k = len(keep)
 
-    def run(batches):
-        styles: dict[str, dict] = {}
-        for batch in batches:
-            for part in c.slices(batch, "_html"):
-                texts = []
-                for i, (h, page) in enumerate(zip(part.column(k).to_pylist(), part.column(k + 1).to_pylist(), strict=True)):
-                    if h not in styles:
-                        if len(styles) > 500:
-                            styles.clear()
-                        styles[h] = {s["path"]: (s["pages"], s["importance"]) for s in part.column(k + 2)[i].as_py() or ()}
-                    texts.append(extract(page.decode("utf-8", "replace"), styles[h], low, min_pages))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(k)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
-
-    return src.mapInArrow(run, schema)
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for i, (h, page) in enumerate(zip(part.column(k).to_pylist(), part.column(k + 1).to_pylist(), strict=True)):
+            found = sent.value.get(h, frozenset()) if sent is not None else set(part.column(k + 2)[i].as_py() or ())
+            texts.append(extract(page.decode("utf-8", "replace"), found))
+        return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(k)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+
+    return c.map_arrow(src, run, schema, "_html")
 
 
 def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
