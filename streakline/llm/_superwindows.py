@@ -57,13 +57,24 @@ def _runs(h: np.ndarray, window: int, k: int):
     return start, end - start, kh[anchor[start].astype(np.int64)].view(np.int64), content.view(np.int64)
 
 
-def text_key(id_col: str, text_col: str) -> Column:
-    """A row's key: of rows that repeat in id and text the key is one, and so are their spans."""
-    return F.xxhash64(F.col(id_col).cast("string"), c.utf8(text_col))
+def text_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A row's key of 16 bytes: its id (of an id that is no integer, 64 bits of its digest) and 64 bits of a hash of id and text.
+
+    Rows with different integer ids never share a key; of rows that repeat in id and text the key is one, and so are their spans."""
+    eight = lambda number: F.unhex(F.lpad(F.hex(number), 16, "0"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    own = eight(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))) if whole else F.unhex(F.substring(F.md5(name.cast("binary")), 1, 16))
+    return F.concat(own, eight(F.xxhash64(F.col(id_col).cast("string"), c.utf8(text_col))))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(text_key(id_col, text_col).alias("_key"), F.col(id_col).cast("long").alias("_id"), c.utf8(text_col).alias("_text"))
+    """(_key, _id, _text); ids keep their type."""
+    return docs.select(text_key(docs, id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), c.utf8(text_col).alias("_text"))
+
+
+def id_kind(rows: DataFrame) -> str:
+    return rows.schema["_id"].dataType.simpleString()
 
 
 def run_rows(rows: DataFrame, symbols, window: int, k: int) -> DataFrame:
@@ -82,7 +93,7 @@ def run_rows(rows: DataFrame, symbols, window: int, k: int) -> DataFrame:
             names=["_key", "_id", "anchor", "content", "start", "n_windows"],
         )
 
-    return c.map_arrow(rows, make, "_key long, _id long, anchor long, content long, start int, n_windows int")
+    return c.map_arrow(rows, make, f"_key binary, _id {id_kind(rows)}, anchor long, content long, start int, n_windows int")
 
 
 def pick_texts(rows: DataFrame, lists: DataFrame, keys: DataFrame, how_many: int, limit: int = BROADCAST_KEYS) -> DataFrame:

@@ -63,13 +63,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([part.column(at("_key")).take(owner), part.column(at("_id")).take(owner), pa.array(np.concatenate(anchors)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(starts))], names=["_key", "_id", "anchor", "edge", "start"])
 
     picked = sw.pick_texts(rows.filter("_id IS NOT NULL"), lists, keys, keys.count())
-    single = c.stored(c.map_arrow(picked, edges, "_key long, _id long, anchor long, edge long, start int"), "branch-edges")
+    single = c.stored(c.map_arrow(picked, edges, f"_key binary, _id {sw.id_kind(rows)}, anchor long, edge long, start int"), "branch-edges")
     least = single.groupBy("anchor", "edge").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).filter("least < most")
     again = single.join(least, ["anchor", "edge"]).filter("_id > least").select("_key", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
     return whole.unionByName(again), rows
 
 
-FIELDS = "_id long, n_words long, n_removed long, n_spans long, kept binary"
+FIELDS = "_id {}, n_words long, n_removed long, n_spans long, kept binary"
 
 
 def _cut(with_spans: bool, digest: bool):
@@ -106,8 +106,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lists = c.stored(sw.span_lists(spans), "repeated-spans")
     keys = c.checkpoint(lists.select("_key"))
     n = keys.count()
-    cut = c.map_arrow(sw.pick_texts(rows, lists, keys, n), _cut(True, digest), FIELDS)
-    rest = c.map_arrow(sw.others(rows, keys, n), _cut(False, digest), FIELDS)
+    cut = c.map_arrow(sw.pick_texts(rows, lists, keys, n), _cut(True, digest), FIELDS.format(sw.id_kind(rows)))
+    rest = c.map_arrow(sw.others(rows, keys, n), _cut(False, digest), FIELDS.format(sw.id_kind(rows)))
     out = cut.unionByName(rest)
     return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept"))
 

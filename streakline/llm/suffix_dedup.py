@@ -140,7 +140,7 @@ def _segments(threshold: int, hot: int):
                     out["segment"].append(text[b : b + m + threshold - 1])
         if not out["part"]:
             return None
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return run
@@ -159,7 +159,7 @@ def _expand(threshold: int, limit: int):
                         keys.append(g[2])
                         a.append(g[3] + int(x[0]))
                         b.append(g[3] + int(x[-1]) + threshold)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["_key", "from", "to"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["_key", "from", "to"])
 
     def run(batches):
         group, total, ready = [], 0, 0  # group[:ready] are whole groups
@@ -197,13 +197,13 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, threshold: int,
     lists = c.checkpoint(open_paths.groupBy("_key").agg(F.collect_set(F.struct("anchor", "start", "n_windows", "once", "n_paths")).alias("paths")))
     keys = lists.select("_key")
     picked = sw.pick_texts(rows, lists, keys, keys.count())
-    segments = c.map_arrow(picked, _segments(threshold, hot), "anchor long, part int, _key long, start int, once boolean, segment binary")
+    segments = c.map_arrow(picked, _segments(threshold, hot), "anchor long, part int, _key binary, start int, once boolean, segment binary")
     dealt = segments.repartition(c.shuffle_partitions(spark), "anchor", "part").sortWithinPartitions("anchor", "part")
-    found = dealt.mapInArrow(_expand(threshold, TRANSFORM_BYTES), "_key long, from int, to int")
+    found = dealt.mapInArrow(_expand(threshold, TRANSFORM_BYTES), "_key binary, from int, to int")
     return whole.unionByName(found), rows
 
 
-FIELDS = "_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+FIELDS = "_id {}, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _cut(with_spans: bool, digest: bool):
@@ -238,8 +238,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lists = c.stored(sw.span_lists(spans), "repeated-bytes")
     keys = c.checkpoint(lists.select("_key"))
     n = keys.count()
-    cut = c.map_arrow(sw.pick_texts(rows, lists, keys, n), _cut(True, digest), FIELDS)
-    rest = c.map_arrow(sw.others(rows, keys, n), _cut(False, digest), FIELDS)
+    cut = c.map_arrow(sw.pick_texts(rows, lists, keys, n), _cut(True, digest), FIELDS.format(sw.id_kind(rows)))
+    rest = c.map_arrow(sw.others(rows, keys, n), _cut(False, digest), FIELDS.format(sw.id_kind(rows)))
     return cut.unionByName(rest).select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
 
 

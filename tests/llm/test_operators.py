@@ -425,3 +425,25 @@ def test_html_style_tree_of_few_pages(spark):
     for styles in (10**6, 0):
         out = {r["url"]: r["text"] for r in html_extraction.extract_main_text(spark.createDataFrame(rows, "url string, html string"), broadcast_styles=styles).collect()}
         assert all(out[u].startswith("Always the same") == u.startswith("http://two") for u, _ in rows)
+
+
+def test_dedup_with_text_ids_and_repeated_rows(spark):
+    """Ids may be texts; rows that repeat in id and text are texts of their own; a string of two letters that hashes badly is told apart."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = "".join("ba"[bin(i).count("1") % 2] for i in range(1024))
+    p = prose(80)
+    rows = [("a", p), ("b", p), ("b", p), ("c", thue), ("d", None), (None, prose(70)), ("e", ""), ("f", other[:100] + prose(60))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    out = suffix_dedup.remove_repeated_bytes(df).collect()
+    assert len(out) == len(rows)
+    by_id = defaultdict(list)
+    for r in out:
+        by_id[r["doc_id"]].append(r["n_removed"])
+    raw = thue.encode()
+    seen = defaultdict(int)
+    for i in range(len(raw) - 199):
+        seen[raw[i : i + 200]] += 1
+    gone = {i + j for i in range(len(raw) - 199) if seen[raw[i : i + 200]] > 1 for j in range(200)}
+    assert by_id["a"] == [len(p)] and by_id["b"] == [len(p)] * 2 and by_id["c"] == [len(gone)] and by_id["d"] == by_id["e"] == by_id[None] == by_id["f"] == [0]
+    words = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeated_spans(df.filter("doc_id IS NOT NULL")).collect()}
+    assert words["a"] == 0 and words["b"] == 80 and words["c"] == words["d"] == words["f"] == 0
