@@ -10,7 +10,7 @@ from ..plans import denoise
 
 
 def slice_stream(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
-    return spark.readStream.schema(denoise.SLICES).option("maxFilesPerTrigger", max_files).parquet(path)
+    return spark.readStream.schema(denoise.SLICES.format("double")).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def denoise_stream(stream: DataFrame, mode: str = "streak", params: Params | None = None, multiscale: bool = False) -> DataFrame:
