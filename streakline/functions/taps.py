@@ -36,12 +36,29 @@ def clamp_index(i: np.ndarray, n: int) -> np.ndarray:
 def filter_rows(a: np.ndarray, taps, boundary=reflect_index, radius: int | None = None) -> np.ndarray:
     """Correlation of each row with taps; ``boundary`` maps indices beyond the ends."""
     n, r = a.shape[1], len(taps) // 2 if radius is None else radius
-    out = np.zeros_like(a, dtype=np.result_type(a, np.float32))
     if not n:
-        return out
-    wide = np.take(a, boundary(np.arange(-r, n + len(taps) - 1 - r), n), axis=1)
+        return np.zeros_like(a, dtype=np.result_type(a, np.float32))
+    return filter_valid(np.take(a, boundary(np.arange(-r, n + len(taps) - 1 - r), n), axis=1), taps)
+
+
+def filter_valid(wide: np.ndarray, taps) -> np.ndarray:
+    """Correlation along the last axis, where all taps have a value."""
+    n = wide.shape[-1] - len(taps) + 1
+    out = np.zeros((*wide.shape[:-1], n), np.result_type(wide, np.float32))
+    part = np.empty_like(out)
+    for k, w in enumerate(taps):
+        out += np.multiply(wide[..., k : k + n], out.dtype.type(w), out=part)
+    return out
+
+
+def filter_down(a: np.ndarray, taps, boundary=reflect_index) -> np.ndarray:
+    """Correlation along the last axis but one, by whole rows."""
+    n, r = a.shape[-2], len(taps) // 2
+    wide = np.take(a, boundary(np.arange(-r, n + r), n), axis=-2)
+    out = np.zeros_like(a, dtype=np.result_type(a, np.float32))
+    part = np.empty_like(out)
     for k, w in enumerate(taps):
-        out += out.dtype.type(w) * wide[:, k : k + n]
+        out += np.multiply(wide[..., k : k + n, :], out.dtype.type(w), out=part)
     return out
 
 

@@ -45,12 +45,31 @@ def blur(a: np.ndarray, sigma_y: float, sigma_x: float) -> np.ndarray:
     return filter_axis(filter_axis(a, tp.gaussian(sigma_x), 1), tp.gaussian(sigma_y), 0)
 
 
+#: Values that a filter works on at a time: so few that they stay in the processor's cache.
+BLOCK = 1 << 16
+
+
+def residual_medians(a: np.ndarray, sigma_y: float, sigma_x: float = 3.0) -> np.ndarray:
+    """Column medians of an image less its blur, some columns at a time."""
+    h, w = a.shape
+    across, down = tp.gaussian(sigma_x), tp.gaussian(sigma_y)
+    r, out, n = len(across) // 2, np.zeros(w), max(64, BLOCK // max(1, h))
+    for c in range(0, w, n):
+        at = tp.reflect_index(np.arange(c - r, min(w, c + n) + r), w)
+        part = a[:, at].astype(np.float64, copy=False)
+        own = part[:, r : part.shape[1] - r]
+        slow = tp.filter_down(tp.filter_valid(part, across), down)
+        out[c : c + n] = np.median(own - slow, axis=0)
+    return out
+
+
 def streak_profile(a: np.ndarray, sigma: float = 3.0, iterations: int = 1) -> np.ndarray:
-    total, z = np.zeros(a.shape[1]), a.astype(np.float64)
+    """Streaks by column.  A profile that is taken from all rows shifts the medians by what the blur leaves of it, so one blur does for all iterations."""
+    total, medians = np.zeros(a.shape[1]), residual_medians(a, sigma)
     for _ in range(iterations):
-        p = filter_axis(np.median(z - blur(z, sigma, 3.0), axis=0)[None], tp.gaussian(1.0), 1)[0]
+        p = filter_axis(medians[None], tp.gaussian(1.0), 1)[0]
         total += p
-        z = z - p
+        medians = medians - (p - filter_axis(p[None], tp.gaussian(3.0), 1)[0])
     return total
 
 
@@ -113,11 +132,16 @@ def patch_sigma(a: np.ndarray, taps=tp.DB3_ROBUST) -> float:
 
 
 def patch_sigmas(patches: np.ndarray, taps=tp.DB3_ROBUST) -> np.ndarray:
-    """``patch_sigma`` of many patches of one size at a time."""
+    """``patch_sigma`` of many patches of one size, some at a time."""
     n, h, w = patches.shape
-    down = tp.filter_rows(np.ascontiguousarray(patches.astype(np.float64).transpose(0, 2, 1)).reshape(n * w, h), tp.gaussian(2.0), clamp_index)
-    flat = tp.filter_rows(np.ascontiguousarray(down.reshape(n, w, h).transpose(0, 2, 1)).reshape(n * h, w), taps, clamp_index, 3).reshape(n, h * w)
-    return 3.96 * np.median(np.abs(flat - np.median(flat, axis=1, keepdims=True)), axis=1)
+    out, some = np.empty(n), max(1, BLOCK // (h * w))
+    for at in range(0, n, some):
+        part = patches[at : at + some].astype(np.float64)
+        down = tp.filter_down(part, tp.gaussian(2.0), clamp_index)
+        flat = tp.filter_rows(down.reshape(-1, w), taps, clamp_index, 3).reshape(len(part), h * w)
+        off = np.abs(flat - np.median(flat, axis=1, keepdims=True))
+        out[at : at + some] = 3.96 * np.median(off, axis=1, overwrite_input=True)
+    return out
 
 
 def noise_sigma_robust(a: np.ndarray, taps=tp.DB3_ROBUST, size: int = 64) -> float:
