@@ -224,11 +224,11 @@ kernel("noise_sigma_robust", "ev", lambda s: dn.noise_sigma(s, robust=True))
 kernel("match_patches_kernel", "emb", lambda s: dn.matches(s))
 kernel("hard_threshold_pass", "emb", lambda s: vw.from_slices(dn.filter_pass(s, False)))
 kernel("wiener_pass", "emb", lambda s: vw.from_slices(dn.filter_pass(s, True)))
-kernel("remove_streaks_generic", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "generic")))
-kernel("remove_streaks_streak", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", side=SIDE)))
-kernel("remove_streaks_stack", "stack", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", normalize="stack", side=SIDE)))
-kernel("remove_streaks_multiscale", "ev", lambda s: vw.from_slices(dn.remove_streaks(s, multiscale=True, params=dn.parameters("multiscale"), side=SIDE)))
-kernel("remove_streaks_hadamard", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", dn.parameters(hadamard=True))))
+kernel("remove_streaks_generic", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "generic", side=SIDE), dealt=True))
+kernel("remove_streaks_streak", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", side=SIDE), dealt=True))
+kernel("remove_streaks_stack", "stack", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", normalize="stack", side=SIDE), dealt=True))
+kernel("remove_streaks_multiscale", "ev", lambda s: vw.from_slices(dn.remove_streaks(s, multiscale=True, params=dn.parameters("multiscale"), side=SIDE), dealt=True))
+kernel("remove_streaks_hadamard", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", dn.parameters(hadamard=True), side=SIDE), dealt=True))
 kernel("fourier_svd", "emb", lambda s: vw.from_slices(dn.fourier_svd(s)))
 QUERIES["radon_sinogram"] = lambda spark, sf_dir: sy.sinogram(vw.to_slices(sy.shepp_logan(spark, 64)), 4.0)
 QUERIES["detector_gain"] = lambda spark, sf_dir: sy.detector_gain(vw.embedding_image(spark, sf_dir), error=0.05)

@@ -72,11 +72,6 @@ def _cut(slice_id: pa.Array, r: k.Prepared, side: int) -> Iterator[pa.RecordBatc
         yield _rows(slice_id, n, (h, w, tile.top, tile.left, *inner, *z.shape), numbers, z, levels)
 
 
-def _tasks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _filter_tiles(tiles: DataFrame, p: k.Params, psd: np.ndarray | None) -> DataFrame:
     """Both passes on every tile, dealt out evenly over the tasks; waiting images go through as they are."""
 
@@ -95,7 +90,7 @@ def _filter_tiles(tiles: DataFrame, p: k.Params, psd: np.ndarray | None) -> Data
                 out = k.two_passes(z, at, levels, psd, k.Tile(h, w, top, left), (r0, r1, c0, c1))
                 yield _rows(row.column(0), number, (h, w, top, left, r0, r1, c0, c1, *out.shape), list(numbers), out.astype(z.dtype), np.empty(0))
 
-    return tiles.repartition(_tasks(tiles)).mapInArrow(run, tiles.schema)
+    return tiles.repartition(vw.tasks(tiles)).mapInArrow(run, tiles.schema)
 
 
 def _gather(tiles: DataFrame, fn: Callable[[pa.Array, np.ndarray | None, tuple | None], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -140,7 +135,7 @@ def _tiled(slices: DataFrame, prepare: Callable[..., k.Prepared], extra: list[st
                 yield from _cut(batch.column(0).slice(i, 1), prepare(_numpy(batch.column(3), i).reshape(h, w), *args), side)
 
     kind = _kind(slices)
-    tiles = _slices(slices, extra).repartition(_tasks(slices)).mapInArrow(cut, TILES.format(kind))
+    tiles = _slices(slices, extra).repartition(vw.tasks(slices)).mapInArrow(cut, TILES.format(kind))
     return _gather(_filter_tiles(tiles, p, psd), lambda i, out, _: iter([_image_row(i, out)]), SLICES.format(kind))
 
 

@@ -150,11 +150,38 @@ def map_rows(rows: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFra
     return src.mapInArrow(run, src.schema)
 
 
-def from_slices(slices: DataFrame) -> DataFrame:
+def from_slices(slices: DataFrame, dealt: bool = False) -> DataFrame:
+    """Pixels of slices; with ``dealt`` the rows of few large slices are first dealt out over all tasks."""
+    if dealt:
+        return from_rows(slices_to_rows(slices).repartition(tasks(slices)))
     long = slices.select("slice_id", "width", F.posexplode("values").alias("at", "value"))
     return long.select("slice_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("row"), (F.col("at") % F.col("width")).cast("int").alias("col"), "value")
 
 
+def tasks(df: DataFrame) -> int:
+    """How many tasks rows of large arrays are dealt to."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def slices_to_rows(slices: DataFrame) -> DataFrame:
+    """(slice_id, row, values) of slices, without a shuffle."""
+    kind = dict(slices.dtypes)["values"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, w, values = batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i].values
+                some = max(1, (1 << 20) // max(1, w))
+                for r in range(0, h, some):
+                    n = min(some, h - r)
+                    rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), values.slice(r * w, n * w))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[i].as_py(), np.int32)), pa.array(np.arange(r, r + n, dtype=np.int32)), rows], names=["slice_id", "row", "values"])
+
+    src = slices.select(*[F.col(c).cast("int").alias(c) for c in ("slice_id", "height", "width")], "values")
+    return src.mapInArrow(run, f"slice_id int, row int, values {kind}")
+
+
 def slice_axis(voxels: DataFrame, axis: str, row_axis: str, col_axis: str, at: int | None = None) -> DataFrame:
     """Slices of a (d0, d1, d2, value) cube along ``axis``; the filter on one slice reaches the scan."""
     if len({axis, row_axis, col_axis}) != 3:
