@@ -55,7 +55,7 @@ def dense_rows(cells: DataFrame, slices: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()))], names=["slice_id", "row", "values"])
 
     work = sparse.select(F.col("slice_id").cast("int").alias("slice_id"), F.col("row").cast("int").alias("row"), F.col("_at").cast("array<int>").alias("_at"), F.col("_v").cast("array<double>").alias("_v"), F.col("_w").cast("int").alias("_w"))
-    return work.mapInArrow(fill, "slice_id int, row int, values array<double>")
+    return work.repartition(tasks(work)).mapInArrow(fill, "slice_id int, row int, values array<double>")  # few cells make many pixels
 
 
 def _event_rows(spark: SparkSession, sf_dir: str, by_type: bool) -> DataFrame:
