@@ -193,6 +193,25 @@ def test_bpe_equals_library_and_round_trip(docs, empty):
     assert bpe.encode_documents(empty).count() == 0
 
 
+def test_bpe_worker_keeps_little_and_equals_library_on_odd_words():
+    """What an encoder keeps is bounded (240,000 pieces, pairs of tokens in arrays); long words, zero bytes and vocabulary side by side are as in the library."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, rng = bpe.tokenizer_path("byte_bpe_50k.json"), random.Random(5)
+    lib, encoder = Tokenizer.from_file(path), bpe.TrieBpe(path)
+    lib.no_truncation()
+    tokens = [t.replace("\u0120", " ") for t in list(lib.get_vocab())[::7]]
+    texts = ["".join(rng.choices(tokens, k=9)) for _ in range(400)] + ["a\0b" * 30, "ab" * 200, "\u4e2d\u6587" * 50, "q" * 64, "don't've'll'S\n \n x\u00d7y\u00a0z"]
+    for text, (ids, n, raw) in zip(texts, encoder.encode_texts(texts), strict=True):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert (ids, n, raw.decode()) == (",".join(map(str, want)), len(want), text)
+    for block in range(30):
+        encoder.encode_texts([" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(10_000))])
+    assert sum(map(len, encoder.seen)) <= 240_000 and len(encoder.fit_keys) == bpe.FIT_SLOTS
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts(spark, docs, name):
     path = bpe.tokenizer_path(name)
