@@ -221,7 +221,7 @@ def kernel(name: str, view: str, fn):
 SIDE = 512
 kernel("noise_sigma", "ev", lambda s: dn.noise_sigma(s))
 kernel("noise_sigma_robust", "ev", lambda s: dn.noise_sigma(s, robust=True))
-kernel("match_patches_kernel", "emb", lambda s: dn.matches(s))
+QUERIES["match_patches_kernel"] = lambda spark, sf_dir: dn.matches_of_rows(vw.embedding_rows(spark, sf_dir))
 kernel("hard_threshold_pass", "emb", lambda s: vw.from_slices(dn.filter_pass(s, False)))
 kernel("wiener_pass", "emb", lambda s: vw.from_slices(dn.filter_pass(s, True)))
 kernel("remove_streaks_generic", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "generic", side=SIDE), dealt=True))

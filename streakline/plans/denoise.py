@@ -243,22 +243,55 @@ def noise_sigma(slices: DataFrame, robust: bool = False) -> DataFrame:
     return found.select("slice_id", F.col("values")[0].alias("sigma"))
 
 
-def matches(slices: DataFrame, params: k.Params | None = None) -> DataFrame:
-    """Match table of every reference on the grid: (slice_id, ref_row, ref_col, rank, row, col, distance)."""
+def streamed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Rows that lie together by their first ``keys`` columns, one group at a time, whatever batches they come in."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
+        begins = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(begins, begins[1:]):
+            key = tuple(values[x].tolist())
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield now, held
+
+
+def matches_of_rows(rows: DataFrame, params: k.Params | None = None, band: int = 512) -> DataFrame:
+    """``matches`` of images in row form, in bands of about ``band`` rows with the rows around them that their references look at: no image is ever one row."""
     p = (params or k.Params()).checked()
-
-    def run(a: np.ndarray) -> np.ndarray:
-        out = []
-        for r0 in range(0, a.shape[0] - p.patch + 1, p.step):
-            refs, mr, mc, d = k.match_rows(a, r0, p)
-            i, j = np.nonzero(mr >= 0)
-            out.append(np.stack([np.full(len(i), r0), refs[i], j + 1, mr[i, j], mc[i, j], d[i, j]], 1))
-        return np.concatenate(out) if out else np.empty((0, 6))
-
-    rows = vw.from_slices(map_slices(slices, run))
-    wide = rows.groupBy("slice_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("p")).select("slice_id", F.col("p.value").alias("v"))
+    band, half = -(-band // p.step) * p.step, p.window // 2
     names = ["ref_row", "ref_col", "rank", "row", "col"]
-    return wide.select("slice_id", *[F.col("v")[i].cast("int").alias(n) for i, n in enumerate(names)], F.col("v")[5].alias("distance"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (slice_id, number), parts in streamed(batches, 2):
+            top, height = parts[0].column(2)[0].as_py(), parts[0].column(3)[0].as_py()
+            a = np.concatenate([x.column(4).flatten().to_numpy(zero_copy_only=False) for x in parts]).reshape(sum(x.num_rows for x in parts), -1)
+            tile = k.Tile(height, a.shape[1], top, 0)
+            cols = k._grid(0, tile.width, tile.width, p)
+            refs = np.arange(number * band, min((number + 1) * band, height - p.patch + 1), p.step)
+            some = max(1, k.REFERENCES // max(1, len(cols)))
+            for first in range(0, len(refs) if len(cols) else 0, some):
+                mr, mc, d = k.match_grid(a, refs[first : first + some], cols, p, tile)
+                i, j = np.nonzero(mr >= 0)
+                found = [mr[i, 0], mc[i, 0], j + 1, mr[i, j], mc[i, j]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), slice_id, np.int32)), *[pa.array(x.astype(np.int32)) for x in found], pa.array(d[i, j].astype(np.float64))], names=["slice_id", *names, "distance"])
+
+    placed = vw.numbered(rows)
+    first, last = (F.floor((F.col("place") + x) / band).cast("int") for x in (-half - p.patch + 1, half))
+    dealt = placed.select(F.col("slice_id").cast("int").alias("slice_id"), F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("band"), "place", "height", F.col("values").cast("array<double>").alias("values"))
+    dealt = dealt.repartition(vw.tasks(rows), "slice_id", "band").sortWithinPartitions("slice_id", "band", "place")
+    return dealt.mapInArrow(run, "slice_id int, " + ", ".join(f"{x} int" for x in names) + ", distance double")
+
+
+def matches(slices: DataFrame, params: k.Params | None = None) -> DataFrame:
+    """Match table of every reference on the grid: (slice_id, ref_row, ref_col, rank, row, col, distance)."""
+    return matches_of_rows(vw.slices_to_rows(slices), params)
 
 
 def process_volume(slices: DataFrame, mode: str, params: k.Params | None = None, progress: Callable[[int, int], None] | None = None, batch: int = 32, tag: str = "streakline") -> DataFrame:

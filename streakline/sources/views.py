@@ -127,6 +127,18 @@ def rows_to_slices(rows: DataFrame) -> DataFrame:
     return images.select("slice_id", F.size("r").alias("height"), F.size(F.col("r.v")[0]).alias("width"), F.flatten("r.v").alias("values"))
 
 
+def numbered(rows: DataFrame, some: int = 4096) -> DataFrame:
+    """``rows`` with their place in the image (from 0 on, in order of row) and the image's height.
+
+    Counted by ranges of row numbers, so that only one count a range is ordered in one task."""
+    ranged = rows.withColumn("_range", F.floor(F.col("row") / some))
+    counts = ranged.groupBy("slice_id", "_range").agg(F.count("*").alias("_n"))
+    image = Window.partitionBy("slice_id")
+    before = counts.select("slice_id", "_range", (F.sum("_n").over(image.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(image).alias("height"))
+    within = F.row_number().over(Window.partitionBy("slice_id", "_range").orderBy("row", "values")) - 1
+    return ranged.withColumn("_within", within).join(before, ["slice_id", "_range"]).select("slice_id", (F.col("_before") + F.col("_within")).cast("int").alias("place"), F.col("height").cast("int").alias("height"), "values")
+
+
 def to_slices(pixels: DataFrame) -> DataFrame:
     """Slices of pixels; rows and columns are taken in order."""
     return rows_to_slices(to_rows(pixels))

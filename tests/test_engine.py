@@ -165,3 +165,20 @@ def test_queries_against_sql(spark, name):
     cols = sorted(df.columns)
     assert cols == sorted(names)
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())
+
+
+def test_matches_by_bands_equal_whole_image(spark):
+    """Bands of an image, with gaps in the numbers of its rows, give the matches of the whole image; no row of the plan holds an image."""
+    import numpy as np
+
+    from streakline.kernels import images as kn
+    from streakline.plans import denoise as dn
+
+    a, p = np.random.default_rng(3).random((75, 21)), kn.Params()
+    rows = spark.createDataFrame([(0, 7 * i - 100, x.tolist()) for i, x in enumerate(a)], "slice_id int, row int, values array<double>")
+    got = {tuple(r)[1:6]: r["distance"] for r in dn.matches_of_rows(rows, p, 16).collect()}
+    want = {}
+    for r0 in range(0, 75 - p.patch + 1, p.step):
+        refs, mr, mc, d = kn.match_rows(a, r0, p)
+        want |= {(r0, int(refs[i]), j + 1, int(mr[i, j]), int(mc[i, j])): d[i, j] for i, j in zip(*np.nonzero(mr >= 0), strict=True)}
+    assert got == want
