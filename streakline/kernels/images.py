@@ -49,23 +49,30 @@ def blur(a: np.ndarray, sigma_y: float, sigma_x: float) -> np.ndarray:
 BLOCK = 1 << 16
 
 
-def residual_medians(a: np.ndarray, sigma_y: float, sigma_x: float = 3.0) -> np.ndarray:
-    """Column medians of an image less its blur, some columns at a time."""
-    h, w = a.shape
+def residual_medians(a: np.ndarray, sigma_y: float, sigma_x: float = 3.0, strip: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    """Column medians of an image less its blur, some columns at a time.
+
+    Of a ``strip`` (from column, to column, the array's first column, the image's width) with the columns around it that the blur takes, those of its columns."""
+    h, (begin, w, left, total) = a.shape[0], strip or (0, a.shape[1], 0, a.shape[1])
     across, down = tp.gaussian(sigma_x), tp.gaussian(sigma_y)
-    r, out, n = len(across) // 2, np.zeros(w), max(64, BLOCK // max(1, h))
-    for c in range(0, w, n):
-        at = tp.reflect_index(np.arange(c - r, min(w, c + n) + r), w)
+    r, out, n = len(across) // 2, np.zeros(w - begin), max(64, BLOCK // max(1, h))
+    for c in range(begin, w, n):
+        at = tp.reflect_index(np.arange(c - r, min(w, c + n) + r), total) - left
         part = a[:, at].astype(np.float64, copy=False)
         own = part[:, r : part.shape[1] - r]
         slow = tp.filter_down(tp.filter_valid(part, across), down)
-        out[c : c + n] = np.median(own - slow, axis=0)
+        out[c - begin : c - begin + n] = np.median(own - slow, axis=0)
     return out
 
 
 def streak_profile(a: np.ndarray, sigma: float = 3.0, iterations: int = 1) -> np.ndarray:
     """Streaks by column.  A profile that is taken from all rows shifts the medians by what the blur leaves of it, so one blur does for all iterations."""
-    total, medians = np.zeros(a.shape[1]), residual_medians(a, sigma)
+    return profile_of(residual_medians(a, sigma), iterations)
+
+
+def profile_of(medians: np.ndarray, iterations: int) -> np.ndarray:
+    """``streak_profile`` of its residual medians."""
+    total = np.zeros(len(medians))
     for _ in range(iterations):
         p = filter_axis(medians[None], tp.gaussian(1.0), 1)[0]
         total += p
@@ -74,7 +81,12 @@ def streak_profile(a: np.ndarray, sigma: float = 3.0, iterations: int = 1) -> np
 
 
 def sigma_profile(a: np.ndarray, smoothing: float = 20.0, scale: float = 1.1) -> np.ndarray:
-    p = streak_profile(a, 5.0, 1)
+    return levels_of(residual_medians(a, 5.0), smoothing, scale)
+
+
+def levels_of(medians: np.ndarray, smoothing: float, scale: float) -> np.ndarray:
+    """``sigma_profile`` of its residual medians."""
+    p = profile_of(medians, 1)
     return np.abs(p - filter_axis(p[None], tp.gaussian(smoothing), 1)[0]) * scale
 
 
@@ -349,17 +361,19 @@ def two_passes(z: np.ndarray, p: Params, sigma_map: np.ndarray, psd: np.ndarray
     return out[r0 - a : r1 - a, c0 - l : c1 - l]
 
 
+def cuts(n: int, side: int, p: Params) -> list[tuple[int, int]]:
+    """An axis in parts of about ``side``, in whole steps: (from, to)."""
+    parts = max(1, round(n / side))
+    at = [min(n, round(i * n / parts / p.step) * p.step) for i in range(parts)] + [n]
+    return [(x, y) for x, y in zip(at, at[1:]) if y > x]
+
+
 def tiles(height: int, width: int, side: int, p: Params) -> list[tuple[tuple[int, int, int, int], Tile, tuple[slice, slice]]]:
     """An image in tiles of about ``side``: (inner part, tile, and its slices of the image with the edge that two passes need)."""
 
-    def cuts(n: int) -> list[tuple[int, int]]:
-        parts = max(1, round(n / side))
-        at = [min(n, round(i * n / parts / p.step) * p.step) for i in range(parts)] + [n]
-        return [(x, y) for x, y in zip(at, at[1:]) if y > x]
-
     far, out = 2 * reach(p), []
-    for r0, r1 in cuts(height):
-        for c0, c1 in cuts(width):
+    for r0, r1 in cuts(height, side, p):
+        for c0, c1 in cuts(width, side, p):
             top, left = max(0, r0 - far), max(0, c0 - far)
             out.append(((r0, r1, c0, c1), Tile(height, width, top, left), np.s_[top : min(height, r1 + far), left : min(width, c1 + far)]))
     return out

@@ -226,7 +226,7 @@ kernel("hard_threshold_pass", "emb", lambda s: vw.from_slices(dn.filter_pass(s,
 kernel("wiener_pass", "emb", lambda s: vw.from_slices(dn.filter_pass(s, True)))
 kernel("remove_streaks_generic", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "generic", side=SIDE), dealt=True))
 kernel("remove_streaks_streak", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", side=SIDE), dealt=True))
-kernel("remove_streaks_stack", "stack", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", normalize="stack", side=SIDE), dealt=True))
+QUERIES["remove_streaks_stack"] = lambda spark, sf_dir: dn.remove_streaks_strips(vw.event_stack_rows(spark, sf_dir), side=SIDE)
 kernel("remove_streaks_multiscale", "ev", lambda s: vw.from_slices(dn.remove_streaks(s, multiscale=True, params=dn.parameters("multiscale"), side=SIDE), dealt=True))
 kernel("remove_streaks_hadamard", "emb", lambda s: vw.from_slices(dn.remove_streaks(s, "streak", dn.parameters(hadamard=True), side=SIDE), dealt=True))
 kernel("fourier_svd", "emb", lambda s: vw.from_slices(dn.fourier_svd(s)))

@@ -219,6 +219,83 @@ def remove_streaks(slices: DataFrame, mode: str = "generic", params: k.Params |
     return _tiled(slices, prepare, extra, p, tp.anisotropic_psd(p.patch, p.psd_width) if mode in ("streak", "multiscale_streak") else None, side)
 
 
+def remove_streaks_strips(rows: DataFrame, params: k.Params | None = None, side: int = 512) -> DataFrame:
+    """Pixels of ``remove_streaks`` (mode streak, normalize stack) of images in row form, in double precision; no image is ever one row.
+
+    Images are cut into strips of columns of full height, with the columns around them that both passes need.  A strip's column medians
+    come first; a slice's profile and noise levels are made of those of its strips, and go back to the strips as a row before the others."""
+    p = (params or k.Params()).checked()
+    psd, far = tp.anisotropic_psd(p.patch, p.psd_width), 2 * k.reach(p)
+    piece = "slice_id int, strip int, kind int, row int, width int, values array<double>"
+    names = ["slice_id", "strip", "kind", "row", "width", "values"]
+
+    def span(width: int, strip: int) -> tuple[int, int, int, int]:
+        """From column, to column, and the same with the edge."""
+        c0, c1 = k.cuts(width, side, p)[strip]
+        return c0, c1, max(0, c0 - far), min(width, c1 + far)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values, n = _numpy(batch.column(2), i), len(k.cuts(len(batch.column(2)[i]), side, p))
+                parts = [values[slice(*span(len(values), s)[2:])] for s in range(n)]
+                same = [np.full(n, x, np.int32) for x in (batch.column(0)[i].as_py(), 1, batch.column(1)[i].as_py(), len(values))]
+                yield pa.RecordBatch.from_arrays([pa.array(same[0]), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, same[1:]), _lists(parts, np.float64)], names=names)
+
+    def scaled(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, int, float, float]:
+        """A strip, the image's width, and the ends."""
+        lo, hi = (parts[0].column(i)[0].as_py() for i in (6, 7))
+        lo, hi = (lo, hi) if hi - lo > 1e-10 else (0.0, 1.0)
+        a = np.concatenate([x.column(5).flatten().to_numpy(zero_copy_only=False) for x in parts]).reshape(sum(x.num_rows for x in parts), -1)
+        width = parts[0].column(4)[0].as_py()
+        if min(len(a), width) < p.patch:
+            raise ValueError("the image is smaller than a patch")
+        return (a - lo) / (hi - lo), width, lo, hi
+
+    def medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (slice_id, strip), parts in streamed(batches, 2):
+            z, width, _, _ = scaled(parts)
+            c0, c1, left, _ = span(width, strip)
+            found = [k.residual_medians(z, s, strip=(c0, c1, left, width)) for s in (5.0, p.streak_sigma)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (slice_id, strip)] + [_lists([x], np.float64) for x in found], names=["slice_id", "strip", "slow", "fast"])
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = batch.column(1)[i].values
+                slow, fast = (parts.field(x).flatten().to_numpy(zero_copy_only=False) for x in ("slow", "fast"))
+                both, width = (k.profile_of(fast, p.streak_iterations), k.levels_of(slow, p.map_smoothing, p.map_scale)), len(slow)
+                for s in range(len(parts)):
+                    at = slice(*span(width, s)[2:])
+                    row = [pa.array([x], pa.int32()) for x in (batch.column(0)[i].as_py(), s, 0, 0, width)]
+                    yield pa.RecordBatch.from_arrays([*row, _lists([np.concatenate([x[at] for x in both])], np.float64)], names=names)
+
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (slice_id, strip), parts in streamed(batches, 2):
+            profile, levels = parts[0].column(5)[0].values.to_numpy(zero_copy_only=False).reshape(2, -1)
+            z, width, lo, hi = scaled([parts[0].slice(1), *parts[1:]] if parts[0].num_rows > 1 else parts[1:])
+            z -= profile
+            c0, c1, left, _ = span(width, strip)
+            for r0, r1 in k.cuts(len(z), side, p):
+                top = max(0, r0 - far)
+                out = k.two_passes(z[top : r1 + far], p, levels, psd, k.Tile(len(z), width, top, left), (r0, r1, c0, c1)) * (hi - lo) + lo
+                n = r1 - r0
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (c1 - c0)), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, slice_id, np.int32)), pa.array(np.arange(r0, r1, dtype=np.int32)), pa.array(np.full(n, c0, np.int32)), lists], names=["slice_id", "row", "first", "values"])
+
+    rows = rows.select(*[F.col(x).cast("int").alias(x) for x in ("slice_id", "row")], F.col("values").cast("array<double>").alias("values"))
+    ends = F.broadcast(rows.agg(F.min(F.array_min("values")).alias("_lo"), F.max(F.array_max("values")).alias("_hi")))  # one row
+    pieces, keys = rows.mapInArrow(cut, piece), ["slice_id", "strip"]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.join(ends).repartition(vw.tasks(df), *keys).sortWithinPartitions(*keys, "kind", "row")  # a join above would drop the order
+
+    found = dealt(pieces).mapInArrow(medians, "slice_id int, strip int, slow array<double>, fast array<double>")
+    whole = found.groupBy("slice_id").agg(F.array_sort(F.collect_list(F.struct("strip", "slow", "fast"))).alias("parts"))
+    out = dealt(pieces.unionByName(whole.mapInArrow(profiles, piece))).mapInArrow(passes, "slice_id int, row int, first int, values array<double>")
+    return out.select("slice_id", "row", "first", F.posexplode("values").alias("at", "value")).select("slice_id", "row", (F.col("first") + F.col("at")).alias("col"), "value")
+
+
 def filter_pass(slices: DataFrame, wiener: bool, params: k.Params | None = None, coloured: bool = True) -> DataFrame:
     """One pass alone; the pilot of a Wiener pass is the hard-thresholded image."""
     p = (params or k.Params()).checked()

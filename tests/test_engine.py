@@ -182,3 +182,20 @@ def test_matches_by_bands_equal_whole_image(spark):
         refs, mr, mc, d = kn.match_rows(a, r0, p)
         want |= {(r0, int(refs[i]), j + 1, int(mr[i, j]), int(mc[i, j])): d[i, j] for i, j in zip(*np.nonzero(mr >= 0), strict=True)}
     assert got == want
+
+
+def test_strips_equal_whole_images(spark):
+    """Strips of two images, whose numbers of rows have gaps, give what each whole image gives on the stack's ends."""
+    import numpy as np
+
+    from streakline.kernels import images as kn
+    from streakline.plans import denoise as dn
+
+    stack, p = np.random.default_rng(4).random((2, 70, 150)) + np.sin(np.arange(150)), kn.Params()
+    rows = spark.createDataFrame([(s, 3 * i - 9, x.tolist()) for s, a in enumerate(stack) for i, x in enumerate(a)], "slice_id int, row int, values array<double>")
+    got = np.zeros_like(stack)
+    for r in dn.remove_streaks_strips(rows, p, side=48).collect():
+        got[r["slice_id"], r["row"], r["col"]] = r["value"]
+    for s, a in enumerate(stack):
+        r = kn.prepare(a, "streak", p, (stack.min(), stack.max()))
+        assert np.allclose(got[s], r.finish(kn.two_passes(r.z, r.params, r.levels, r.psd)), rtol=0, atol=1e-9)
