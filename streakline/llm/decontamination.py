@@ -200,7 +200,7 @@ def mark_contamination(
     spark = docs.sparkSession
     out, first, blocks = docs, True, []
 
-    def one_pass(df: DataFrame, shared: list, first: bool) -> DataFrame:
+    def one_pass(df: DataFrame, shared: list, first: bool, cut: bool = False) -> DataFrame:
         src = df if first else df.withColumn("_before_hit", F.col("_hit")).withColumn("_before_ids", F.col("item_ids"))
         names = {n for n, _ in FIELDS}
         keep = [x for x in src.columns if x not in names and not x.startswith("_before_")]
@@ -213,10 +213,11 @@ def mark_contamination(
         n_keep = len(keep)
 
         def run(batches):
+            c.kept("decontamination")
             for batch in batches:
                 for part in c.slices(batch, "_src_text"):
                     texts = part.column(n_keep).to_pylist()
-                    counts, hits, ids, masks = [], [], [], []
+                    counts, hits, ids, masks, new = [], [], [], [], []
                     for i, text in enumerate(texts):
                         words = words_of(text)
                         hit, found = np.zeros(len(words), bool), set()
@@ -229,8 +230,15 @@ def mark_contamination(
                         hits.append(int(hit.sum()))
                         ids.append(sorted(found))
                         masks.append(np.packbits(hit).tobytes())
+                        if cut:
+                            new.append(cut_spans(text, hit, min_span) if hit.any() else text)
                     made = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(masks, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n_keep)] + made, names=[*keep, *names_in_order])
+                    kept = [part.column(i) for i in range(n_keep)]
+                    if cut:
+                        kept[keep.index(text_col)] = pa.array(new, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(kept + made, names=[*keep, *names_in_order])
+            batch = part = texts = hits = masks = new = made = kept = None
+            c.tidy()
 
         names_in_order = [n for n, _ in FIELDS]
         return base.mapInArrow(run, schema)
@@ -239,28 +247,8 @@ def mark_contamination(
         blocks.append(spark.sparkContext.broadcast(automaton))
         if len(blocks) == BLOCKS_PER_PASS:
             out, first, blocks = c.checkpoint(one_pass(out, blocks, first)), False, []
-    if blocks or first:
-        out = one_pass(out, blocks, first)
-    if cut:
-
-        def clean(part: pa.RecordBatch) -> list[bytes | None]:
-            at = part.schema.get_field_index
-            return [
-                t if t is None or not n else cut_spans(t, np.unpackbits(np.frombuffer(m, np.uint8), count=w).astype(bool), min_span)
-                for t, n, w, m in zip(part.column(at("_src_text")).to_pylist(), part.column(at("n_hit")).to_pylist(), part.column(at("n_words")).to_pylist(), part.column(at("_hit")).to_pylist(), strict=True)
-            ]
-
-        src = out.withColumn("_src_text", F.col(f"`{text_col}`").cast("string").cast("binary"))
-        schema = out.schema
-
-        def run(batches):
-            for batch in batches:
-                for part in c.slices(batch, "_src_text"):
-                    new = pa.array(clean(part), pa.binary()).cast(pa.string())
-                    cols = [new if x == text_col else part.column(part.schema.get_field_index(x)) for x in schema.names]
-                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-        out = src.mapInArrow(run, schema)
+    if blocks or first or cut:  # the cut belongs to the last pass: a step of its own would hold a second Python worker for each task
+        out = one_pass(out, blocks, first, cut)
     return out.drop("_hit")
 
 

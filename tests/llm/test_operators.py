@@ -212,6 +212,17 @@ def test_bpe_worker_keeps_little_and_equals_library_on_odd_words():
     assert sum(map(len, encoder.seen)) <= 240_000 and len(encoder.fit_keys) == bpe.FIT_SLOTS
 
 
+def test_bpe_worker_lets_go_of_pieces_after_a_task():
+    from streakline.llm import _common as c
+
+    encoder = bpe._encoder(bpe.tokenizer_path("byte_bpe_50k.json"))
+    first = encoder.encode_texts(["some words and some more", "<|endoftext|> a\0b"])
+    assert any(encoder.seen)
+    c.tidy()
+    assert not any(encoder.seen) and not encoder.odd
+    assert encoder.encode_texts(["some words and some more", "<|endoftext|> a\0b"]) == first
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts(spark, docs, name):
     path = bpe.tokenizer_path(name)
@@ -271,6 +282,17 @@ def test_decontamination(spark, docs, empty):
     assert 13 not in clean and clean[last][0].split() == TEXTS[last].split()[:6000]  # mostly passage: gone; else only the passage goes
 
 
+def test_decontamination_cuts_in_the_last_pass(spark, docs, monkeypatch):
+    """Marking and cutting are one Python step (two would hold two workers for each task), with the same texts however many passes."""
+    bench = spark.createDataFrame([(3, PASSAGE), (5, "one two")], "item_id long, text string")
+    once = decontamination.decontaminate(docs, bench)
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = by_id(once, "text")
+    for passes in (1, 2):
+        monkeypatch.setattr(decontamination, "BLOCKS_PER_PASS", passes)
+        assert by_id(decontamination.decontaminate(docs, bench, block_words=30), "text") == want
+
+
 def test_toxicity(spark, docs, empty):
     bad = "grumpkin snotlord dreckface".split()
     r, rows, labels = random.Random(2), [], []
